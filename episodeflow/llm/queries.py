@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, chat, decontaminate, simhash, warc
 
 
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_warc": warc.op1_warc,
+        "op3_chat": chat.op3_chat,
         "op5_bpe": bpe.op5_bpe,
         "op6_simhash": simhash.op6_simhash,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": warc.OP1_SQL,
+        "op3_chat": chat.OP3_SQL,
+    }
