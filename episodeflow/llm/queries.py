@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, simhash, warc
+from . import ann, bpe, chat, decontaminate, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
 
     return {
         "op1_warc": warc.op1_warc,
+        "op2_secrets": secrets.op2_secrets,
         "op3_chat": chat.op3_chat,
         "op5_bpe": bpe.op5_bpe,
         "op6_simhash": simhash.op6_simhash,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op10_ann": ann.op10_ann,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -21,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
+        "op2_secrets": secrets.OP2_SQL,
         "op3_chat": chat.OP3_SQL,
     }
