@@ -49,8 +49,11 @@ class Rule:
 
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    # AKIA[A-Z0-9]+ of 18 and [0-9a-f]+ of 16 characters or more: a match runs on to the
+    # last character of its class, so one that is too short hides no other match, and
+    # the length can stand in the pattern
+    Rule("access", r"AKIA[A-Z0-9]{14,}"),
+    Rule("hex", r"[0-9a-f]{16,}"),
 )
 EXTRA = (
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
@@ -87,10 +90,6 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     return index.select(F.explode(found).alias("c")).select("c.*").groupBy("_row").agg(F.collect_set("kind").alias("rules"))
 
 
-def _any_long(xs, least: int) -> Column:
-    return F.exists(xs, lambda x: F.length(x) >= least)
-
-
 def _has_kind(kind: str) -> Column:
     return F.exists("spans", lambda s: s["kind"] == kind)
 
@@ -148,9 +147,6 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "t
         rows = rows.withColumn(f"_m_{r.kind}", F.when(able, F.regexp_extract_all("_text", F.lit(r.pattern), F.lit(0))).otherwise(none))
     for r in rules:
         some = F.size(f"_m_{r.kind}") > 0
-        if not r.group:
-            # a run that is too short is dropped before it is placed, and with it the need to cut the text there
-            some = _any_long(f"_m_{r.kind}", r.least)
         rows = rows.withColumn(f"_some_{r.kind}", some)
     for r in rules:
         some, m = F.col(f"_some_{r.kind}"), F.col(f"_m_{r.kind}")
@@ -194,8 +190,8 @@ def _sql_spans(rule: Rule, rank: int) -> str:
     return f"""
     SELECT r, {rank} AS rank, '{rule.kind}' AS kind, e - n AS s, e, g FROM (
       SELECT r, n, g, sum(gap + n) OVER (PARTITION BY r ORDER BY i) AS e FROM (
-        SELECT r, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, x -> length(x))) AS n,
-               unnest(list_transform(g, x -> length(x))) AS g, unnest(list_transform(p[1:len(m)], x -> length(x))) AS gap
+        SELECT r, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda x: length(x))) AS n,
+               unnest(list_transform(g, lambda x: length(x))) AS g, unnest(list_transform(p[1:len(m)], lambda x: length(x))) AS gap
         FROM (SELECT r, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, regexp_split_to_array(t, '{pattern}') AS p FROM d)
       )
     ) WHERE g >= {rule.least}"""
