@@ -1,13 +1,25 @@
-"""The corpus pipeline: documents through stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again.
+
+Each stage is a function of (spark, docs, sf_dir) that calls one operator of
+``episodeflow.llm``. It gets what the stage before it kept; rows that a stage
+rejects are gone for all later ones, and cleaned texts replace the old ones.
+"""
 
 from __future__ import annotations
 
-from episodeflow.llm import simhash
+from episodeflow.llm import bpe, decontaminate, secrets, simhash, toxicity
 from episodeflow.llm.common import materialise, read_table
 
-STAGES = [("near_duplicates", simhash.keep_one_of_each_group)]
+STAGES = [
+    ("toxicity", toxicity.drop_toxic),
+    ("near_duplicates", simhash.keep_one_of_each_group),
+    ("decontamination", decontaminate.drop_contaminated),
+    ("secrets", secrets.redact_secrets),
+    ("tokens", bpe.encode_corpus),
+]
 
-#: The stages need models and hashes that SQL has no functions for.
+#: Trained models, fingerprints and token ids are nothing that SQL can compute;
+#: tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

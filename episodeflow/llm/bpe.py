@@ -219,14 +219,15 @@ class TextCodec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
+def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None, outputs: tuple[str, ...] = ("ids",), keep_text: bool = True) -> DataFrame:
     """Encode whole texts, and decode the ids again.
 
     ``outputs`` names the columns to add: ``n_tokens`` (long), ``ids`` (array of
     int), ``decoded`` (string), ``ids_sha256`` and ``decoded_sha256`` (lower-case
     hex of the ids as little-endian unsigned 32-bit integers, and of the decoded
     text in UTF-8). ``vocabulary`` is the path of the vocabulary file, read on
-    the driver; its few MB go to the executors as one broadcast.
+    the driver; its few MB go to the executors as one broadcast. Without
+    ``keep_text`` the text itself isn't returned.
     """
     types = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary or default_vocabulary()))
@@ -250,10 +251,15 @@ def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None
 
         return apply
 
-    return add_columns(docs, [text], [(o, types[o]) for o in outputs], make)
+    return add_columns(docs, [text], [(o, types[o]) for o in outputs], make, drop=() if keep_text else (text,))
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_documents(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+    return encode_documents(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
+
+
+def encode_corpus(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: each document's ids, their number and the digest of the text that they decode to."""
+    return encode_documents(docs, outputs=("n_tokens", "ids", "decoded_sha256"), keep_text=False)

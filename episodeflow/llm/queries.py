@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, secrets, simhash, toxicity, url_filter, warc
+from . import ann, bpe, chat, decontaminate, secrets, simhash, suffix_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5_bpe,
         "op6_simhash": simhash.op6_simhash,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_ann": ann.op10_ann,
         "pipeline": corpus_pipeline.run,
