@@ -153,6 +153,19 @@ class Models:
             self.shared[order] = table(grams, "key", "n")
             self.shared_contexts[order] = table(grams, f"shiftright(key, {BITS})", "n", "1")
 
+    def __getstate__(self):
+        """The tables compressed: most slots of a small model are empty."""
+        import pickle
+        import zlib
+
+        return zlib.compress(pickle.dumps(self.__dict__, 5), 1)
+
+    def __setstate__(self, state):
+        import pickle
+        import zlib
+
+        self.__dict__ = pickle.loads(zlib.decompress(state))
+
     def backoff(self, key, order: int):
         """The shared probability of the last character after the ``order - 1`` before it."""
         import numpy as np
