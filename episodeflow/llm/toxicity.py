@@ -195,19 +195,28 @@ class Scorer:
     """Features of texts under given models."""
 
     def __init__(self, models: Models):
-        self.models, self.known = models, {}
+        self.models = models
+        self.reset()
+
+    def reset(self) -> None:
+        import numpy as np
+
+        #: The place of each known word in the arrays of its ratio and size.
+        self.known: dict[bytes, int] = {}
+        self.ratio, self.size = np.zeros(0), np.zeros(0, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
         import numpy as np
 
         if len(self.known) > KNOWN_WORDS:
-            self.known = {}
+            self.reset()
         new = [w for w in words if w not in self.known]
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             keys, sizes = word_keys(part)
             sums = np.add.reduceat(self.models.ratios(keys), np.r_[0, np.cumsum(sizes)[:-1]])
-            self.known.update(zip(part, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
+            self.known.update(zip(part, range(len(self.ratio), len(self.ratio) + len(part)), strict=True))
+            self.ratio, self.size = np.r_[self.ratio, sums], np.r_[self.size, sizes]
 
     def features(self, texts: list[bytes | None]):
         import numpy as np
@@ -223,13 +232,13 @@ class Scorer:
             for words in group:
                 met.update(words)
             self.learn(met)
-            known = self.known
+            place = self.known.__getitem__
             for i, words in enumerate(group):
                 if words:
-                    values = np.array([known[w] for w in words])
-                    ratio = values[:, 0]
+                    ids = np.fromiter(map(place, words), np.int64, len(words))
+                    ratio = self.ratio[ids]
                     top = min(TOP, len(ratio))
-                    out[at + i] = ratio.sum() / values[:, 1].sum(), np.partition(ratio, len(ratio) - top)[-top:].mean(), np.log1p(len(ratio))
+                    out[at + i] = ratio.sum() / self.size[ids].sum(), np.partition(ratio, len(ratio) - top)[-top:].mean(), np.log1p(len(ratio))
             at += len(group)
         return out
 
