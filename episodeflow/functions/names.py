@@ -15,6 +15,8 @@ PACKED_BITS = {"qint4": 4, "qint3": 3, "qint2": 2, "ternary": 2, "binary": 1}
 DTYPE_ALIASES = {"float64": "f64", "double": "f64", "float32": "f32", "float": "f32", "float16": "f16", "half": "f16", "bfloat16": "bf16", "int64": "i64", "int32": "i32", "int16": "i16", "int8": "i8", "uint64": "u64", "uint32": "u32", "uint16": "u16", "uint8": "u8", "boolean": "bool"}
 #: Flags of a block's index entry.
 FLAG_COMPRESSED, FLAG_ZSTD, FLAG_LZ4, FLAG_CHUNKED = 1, 2, 4, 8
+#: What names of embeddings and of output heads hold.
+EMBEDDING_MARKS, HEAD_MARKS = ("embed", "tok_embed", "wte", "wpe"), ("norm_final", "ln_f", "lm_head", "output")
 MODALITIES = ("rgb", "depth", "language", "proprioception", "audio", "video", "pointcloud")
 LANES = ("meta", "signal", "action", "time", "omen", "uncert", "residual", "reward", "done", "aux", "debug")
 
@@ -98,8 +100,9 @@ def layer_number(name: Column) -> Column:
 
 def region_of(name: Column) -> Column:
     """0 for embeddings and unknown names, layer + 1, 65535 for output heads."""
-    head = F.contains(name, F.lit("lm_head")) | F.contains(name, F.lit("output")) | F.contains(name, F.lit("classifier"))
-    return F.when(name.startswith("embed"), 0).when(layer_number(name).isNotNull(), layer_number(name) + 1).when(head, 65535).otherwise(0)
+    has = lambda *marks: name.rlike("|".join(marks))
+    head = has(*HEAD_MARKS)
+    return F.when(has(*EMBEDDING_MARKS), 0).when(layer_number(name).isNotNull(), layer_number(name) + 1).when(head, 65535).otherwise(0)
 
 
 def _lookup(value: Column, table: dict) -> Column:

@@ -512,3 +512,62 @@ def t08(spark, d):
 @query("t10_sessions", "WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM s) SELECT user_id, (epoch_us(min(ts)) // 1000000)::BIGINT AS start_s, count(*) AS n FROM g GROUP BY user_id, g")
 def t10(spark, d):
     return table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_timestamp("w.start").alias("start_s"), "n")
+
+
+def _containers(spark, d, codec="zstd"):
+    from ..sources.container import pack_episodes
+
+    steps = predicted_steps(spark, d).withColumn("done", F.col("terminated").cast("int"))
+    return pack_episodes(steps, {"signal/x": ("x", "f64"), "omen/x/ma3": ("omen", "f64"), "reward": ("x", "f64"), "done": ("done", "u8")}, codec=codec)
+
+
+@query("s01_k01_container_round_trip", f"WITH {OM} SELECT episode_id || '.bin' AS file, t, 'omen/x/ma3' AS name, round(omen, 9) AS value FROM om UNION ALL SELECT episode_id || '.bin', t, 'signal/x', round(x, 9) FROM om UNION ALL SELECT episode_id || '.bin', t, 'done', terminated::INT::DOUBLE FROM om")
+def s01(spark, d):
+    from ..sources.container import decode_steps, parse_blocks
+
+    blocks_ = parse_blocks(_containers(spark, d)).where("name <> 'reward'")
+    return decode_steps(blocks_).select("file", "t", "name", F.round(F.get("value", F.lit(0)), 9).alias("value"))
+
+
+@query("s02_projected_load", f"WITH {EV} SELECT episode_id || '.bin' AS file, t, round(x, 9) AS value FROM ev")
+def s02(spark, d):
+    from ..sources.container import decode_steps, parse_blocks
+
+    some = parse_blocks(_containers(spark, d, "lz4"), names=["meta/channels", "signal/x"])
+    return decode_steps(some).select("file", "t", F.round(F.get("value", F.lit(0)), 9).alias("value"))
+
+
+@query("s05_s22_container_catalog", f"WITH {EV}, n AS (SELECT episode_id || '.bin' AS file, count(*) AS n FROM ev GROUP BY 1) SELECT file, 'signal/x' AS name, n * 8 AS orig_size FROM n UNION ALL SELECT file, 'omen/x/ma3', n * 8 FROM n UNION ALL SELECT file, 'done', n FROM n UNION ALL SELECT file, 'time/ticks', n * 4 FROM n")
+def s05(spark, d):
+    from ..sources.container import parse_blocks
+
+    return parse_blocks(_containers(spark, d), payload=False, verify=False).where("lane <> 'meta' and name <> 'reward'").select("file", "name", "orig_size")
+
+
+@query("s07_prefix_read", f"WITH {EV} SELECT DISTINCT episode_id || '.bin' AS file, 16 AS n FROM ev")
+def s07(spark, d):
+    from ..sources.container import parse_blocks
+
+    return parse_blocks(_containers(spark, d), names=["signal/x"], first_bytes=16).select("file", F.octet_length("payload").alias("n"))
+
+
+@query("a10_v06_v07_verify", f"WITH {EV} SELECT episode_id || '.bin' AS file, 7 AS checked, 0 AS failures, 0 AS hash_failures FROM ev GROUP BY 1")
+def a10(spark, d):
+    from ..sources.container import parse_blocks, verify_blocks
+
+    return verify_blocks(parse_blocks(_containers(spark, d), payload=False))
+
+
+@query("f_arr1_f_arr2_tensor_bytes", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS s, len(embedding) * 4 AS n_bytes FROM embeddings")
+def f_arr12(spark, d):
+    from ..functions.binary import decoded, encoded
+
+    rows = table(spark, d, "embeddings").select("vec_id", encoded(F.col("embedding"), "f32").alias("b"))
+    return rows.select("vec_id", F.round(F.aggregate(decoded(F.col("b"), "f32"), F.lit(0.0), lambda a, x: a + x), 6).alias("s"), F.octet_length("b").cast("bigint").alias("n_bytes"))
+
+
+@query("f_bin1_f_bin2_checksums")
+def f_bin12(spark, d):
+    from ..functions.binary import crc32c_of, xxh64_of
+
+    return table(spark, d, "documents").select("doc_id", crc32c_of(F.col("text").cast("binary")).alias("crc32c"), xxh64_of(F.col("text")).alias("xxh64"))
