@@ -3,10 +3,11 @@
 Method
 ------
 Every byte of a string of ``length`` bytes that starts in two places is to go.
-Suffixes are sampled at anchors: positions whose ``GRAM`` bytes have the least
-fingerprint among all such positions of some string of ``length`` bytes. Two
-equal strings hold an anchor at the same place, since the one of their own least
-fingerprint depends on their bytes alone, so no match is lost.
+Suffixes are sampled at anchors: the anchor of a string of ``length`` bytes is
+the first of its positions whose ``GRAM`` bytes have the least fingerprint. It
+depends on the string's bytes alone, so equal strings have it at the same place
+and no match is lost. Neighbouring strings mostly share their anchor: an anchor
+stands for the run of string starts whose strings have it.
 
 The index is a family of levels. A batch of documents becomes a level of its own:
 its sampled suffixes, ordered by the fingerprint at their anchor. Two levels of
@@ -19,7 +20,7 @@ What a partner shares is then settled by ever smaller groups of string starts.
 For a group, the bytes common to all its strings (core) and the bytes of all of
 them together (span) are compared by fingerprint: two places with one span have
 all strings in common, a core without a partner has none, and groups of other
-places are cut into smaller ones. The groups are all starts around an anchor,
+places are cut into smaller ones. The groups are the run of starts of an anchor,
 then ``STARTS`` of them, then single ones; only the borders of matches come to
 the last. Each comparison is an aggregate by key with partial sums, so a passage
 that a third of all documents share is one row for each partition, and no group
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import add_columns, materialise, read_table, with_row_id
 
 GRAM = 32
-STARTS = 22
+STARTS = 10
 GROUP_BYTES = 1_000_000
 
 
@@ -85,83 +86,74 @@ class Fingerprints:
         return h ^ (h >> np.uint64(32))
 
 
-def _sliding(values, width: int, pick):
-    """pick (minimum or maximum) of each run of ``width`` values, by doubling."""
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        values = pick(values[:-step], values[step:])
-        done += step
-    return values
-
-
-def anchors_between(prints: Fingerprints, low: int, high: int, length: int):
-    """The anchors of the strings within bytes low to high."""
+def string_anchors(prints: Fingerprints, low: int, high: int, length: int):
+    """Of the strings within bytes low to high: their anchors, ascending, and for
+    each the first and last start of its strings."""
     import numpy as np
 
     width = length - GRAM + 1
     if high - low < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64),) * 3
     at = np.arange(low, high - GRAM + 1)
-    h = prints.of(at, at + GRAM)
-    least = _sliding(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    found = np.flatnonzero(_sliding(np.r_[edge, least, edge], width, np.maximum) == h)
-    return found + low, h[found]
+    least = prints.of(at, at + GRAM)
+    done = 1
+    while done < width:  # the first least of ever longer runs
+        step = min(done, width - done)
+        left = least[:-step] <= least[step:]
+        at, least = np.where(left, at[:-step], at[step:]), np.where(left, least[:-step], least[step:])
+        done += step
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], first + low, np.r_[first[1:], len(at)] - 1 + low
 
 
 def text_anchors(text: bytes, length: int):
-    """(positions, fingerprints, fingerprints of the surroundings) of a text's anchors.
+    """(anchor, first, last, fingerprint at it, fingerprint of its strings) of a text.
 
-    Long texts are worked off in overlapping pieces with one result.
+    Long texts are worked off in pieces, each with the strings that start in it;
+    a run of starts may be cut there, which settles it as two runs.
     """
     import numpy as np
 
     n = len(text)
-    reach = length - GRAM
     out = []
-    for begin in range(0, max(1, n - length + 1), GROUP_BYTES):
-        low, high = max(0, begin - length), min(n, begin + GROUP_BYTES + 2 * length)
-        data = np.frombuffer(text, np.uint8, high - low, low)
+    for low in range(0, max(1, n - length + 1), GROUP_BYTES):
+        data = np.frombuffer(text, np.uint8, min(n, low + GROUP_BYTES + length - 1) - low, low)
         prints = Fingerprints(data)
-        inner = max(0, begin - low)
-        # strings that start in this piece
-        last = min(len(data), inner + GROUP_BYTES + length - 1)
-        found, h = anchors_between(prints, inner, last, length)
-        a, b = np.maximum(found - reach, 0), np.minimum(found + length, len(data))
-        span = prints.of(a, b, (found - a) * 512 + (b - found))
-        out.append((found + low, h, span))
-    at, h, span = (np.concatenate(x) for x in zip(*out, strict=True))
-    if len(out) > 1:
-        at, once = np.unique(at, return_index=True)
-        h, span = h[once], span[once]
-    return at, h, span
+        at, first, last = string_anchors(prints, 0, len(data), length)
+        out.append((at + low, first + low, last + low, prints.of(at, at + GRAM), prints.of(first, last + length, (at - first) * 512 + (last - first))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _batch(columns, names):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def sampled_suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(row, pos, core, span) of all anchors of the texts (row, text as bytes or string)."""
+    """(row, pos, first, last, core, span) of all anchors of the texts (row, text)."""
+    names = ["row", "pos", "first", "last", "core", "span"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["row", "pos", "core", "span"]
         for batch in batches:
             held, size = [[] for _ in names], 0
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
                 if text is None or len(text) < length:
                     continue
-                at, h, span = text_anchors(text, length)
-                for column, v in zip(held, (np.full(len(at), row), at, h.view(np.int64), span.view(np.int64)), strict=True):
+                at, first, last, core, span = text_anchors(text, length)
+                for column, v in zip(held, (np.full(len(at), row), at.astype("i4"), first.astype("i4"), last.astype("i4"), core.view(np.int64), span.view(np.int64)), strict=True):
                     column.append(v)
                 size += len(at)
                 if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], names=names)
+                    yield _batch(map(np.concatenate, held), names)
                     held, size = [[] for _ in names], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], names=names)
+                yield _batch(map(np.concatenate, held), names)
 
-    return texts.mapInArrow(run, "row bigint, pos bigint, core bigint, span bigint")
+    return texts.mapInArrow(run, "row bigint, pos int, first int, last int, core bigint, span bigint")
 
 
 class IndexFamily:
@@ -215,83 +207,90 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> Da
 
     ``texts`` has row (a unique number) and text, and is read several times.
     """
-    reach = length - GRAM
     suffixes = materialise(sampled_suffixes(texts, length), "suffixes")
     family = IndexFamily()
     for b in range(batches):
         family.add(suffixes.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == b).select("core"))
     shared = materialise(suffixes.join(family.repeated(), "core", "left_semi"), "shared")
 
-    full, open_ = settle(shared, "row", "pos")
-    sizes = texts.select("row", F.octet_length("text").alias("size"))
-    near = open_.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    full, open_ = settle(shared, "row", "pos", "first", "last")
+    near = open_.groupBy("row").agg(F.collect_list(F.struct("pos", "first", "last")).alias("at"))
     around = texts.join(near.hint("shuffle_hash"), "row").select("row", "text", "at")
 
     def surroundings(batches_):
+        """The bytes of the strings of each anchor."""
         import pyarrow as pa
 
-        names, kinds = ["row", "pos", "low", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names, kinds = ["row", "pos", "first", "bytes"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches_:
             out = [[] for _ in names]
             for row, text, at in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("at").to_pylist(), strict=True):
-                for p in at:
-                    low = max(0, p - reach)
-                    for column, v in zip(out, (row, p, low, text[low : p + length]), strict=True):
+                for a in at:
+                    for column, v in zip(out, (row, a["pos"], a["first"], text[a["first"] : a["last"] + length]), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
-    ranges = materialise(around.mapInArrow(surroundings, "row bigint, pos bigint, low bigint, bytes binary"), "ranges")
+    ranges = materialise(around.mapInArrow(surroundings, "row bigint, pos int, first int, bytes binary"), "ranges")
+    reach = length - GRAM  # the most bytes from a string's start to its anchor
+
+    def laid_out(batch):
+        """The rows' numbers, starts by distance from the farthest possible one, and fingerprints of all bytes."""
+        import numpy as np
+
+        data = batch.column("bytes").to_pylist()
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        begin = np.r_[0, np.cumsum(sizes)[:-1]]
+        row, pos, first = (batch.column(c).to_numpy().astype(np.int64) for c in ("row", "pos", "first"))
+        low = first - (pos - reach)
+        return row, pos, low, low + sizes - length, begin - low, Fingerprints(np.frombuffer(b"".join(data), np.uint8))
 
     def groups(batches_):
-        """The groups of string starts around each anchor, with core and span."""
+        """The groups of string starts of each anchor, with core and span."""
         import numpy as np
-        import pyarrow as pa
 
-        names = ["row", "pos", "part", "start", "end", "core", "span"]
         for batch in batches_:
-            out = [[] for _ in names]
-            for row, p, low, data in zip(*(batch.column(c).to_pylist() for c in ("row", "pos", "low", "bytes")), strict=True):
-                base = p - reach - low  # of the first possible start, in the bytes held; negative at a text's begin
-                first, last = max(0, -base), len(data) - length - base
-                if last < first:
-                    continue
-                part = np.arange(first // STARTS, last // STARTS + 1)
-                s0, s1 = np.maximum(part * STARTS, first), np.minimum(part * STARTS + STARTS - 1, last)
-                prints = Fingerprints(np.frombuffer(data, np.uint8))
-                core = prints.of(base + np.minimum(part * STARTS + STARTS - 1, reach), base + part * STARTS + length, part + 1)
-                span = prints.of(base + s0, base + s1 + length, s0 * 256 + s1)
-                for column, v in zip(out, (np.full(len(part), row), np.full(len(part), p), part, base + low + s0, base + low + s1 + length, core.view(np.int64), span.view(np.int64)), strict=True):
-                    column.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-
-    parts = materialise(ranges.mapInArrow(groups, "row bigint, pos bigint, part bigint, start bigint, end bigint, core bigint, span bigint"), "parts")
-    full_parts, open_parts = settle(parts, "row", "pos", "part", "start", "end")
-    wanted = open_parts.groupBy("row", "pos").agg(F.collect_list("part").alias("wanted"))
+            if not batch.num_rows:
+                continue
+            row, pos, low, high, base, prints = laid_out(batch)
+            count = high // STARTS - low // STARTS + 1
+            i = np.repeat(np.arange(len(row)), count)
+            part = np.arange(len(i)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) + low[i] // STARTS
+            s0, s1 = np.maximum(part * STARTS, low[i]), np.minimum(part * STARTS + STARTS - 1, high[i])
+            inner = np.minimum(part * STARTS + STARTS - 1, reach)
+            core = prints.of(base[i] + inner, base[i] + part * STARTS + length, part + 1)
+            span = prints.of(base[i] + s0, base[i] + s1 + length, s0 * 256 + s1)
+            at = pos[i] - reach
+            yield _batch((row[i], pos[i].astype("i4"), (at + s0).astype("i4"), (at + s1).astype("i4"), core.view(np.int64), span.view(np.int64)), ["row", "pos", "first", "last", "core", "span"])
+
+    parts = materialise(ranges.mapInArrow(groups, "row bigint, pos int, first int, last int, core bigint, span bigint"), "parts")
+    full_parts, open_parts = settle(parts, "row", "pos", "first", "last")
+    wanted = open_parts.groupBy("row", "pos").agg(F.collect_list(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("wanted"))
 
     def strings(batches_):
         """The single strings of groups."""
         import numpy as np
-        import pyarrow as pa
 
-        names = ["row", "pos", "start", "core"]
         for batch in batches_:
-            out = [[] for _ in names]
-            for row, p, low, data, parts_ in zip(*(batch.column(c).to_pylist() for c in ("row", "pos", "low", "bytes", "wanted")), strict=True):
-                base = p - reach - low
-                s = (np.array(parts_)[:, None] * STARTS + np.arange(STARTS)).ravel()
-                s = s[(s >= max(0, -base)) & (s <= len(data) - length - base)]
-                core = Fingerprints(np.frombuffer(data, np.uint8)).of(base + s, base + s + length, s + 1)
-                for column, v in zip(out, (np.full(len(s), row), np.full(len(s), p), base + low + s, core.view(np.int64)), strict=True):
-                    column.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-
-    single = materialise(ranges.join(wanted, ["row", "pos"]).mapInArrow(strings, "row bigint, pos bigint, start bigint, core bigint"), "strings")
+            if not batch.num_rows:
+                continue
+            row, pos, low, high, base, prints = laid_out(batch)
+            wanted = batch.column("wanted")
+            i = np.repeat(np.arange(len(row)), wanted.value_lengths().to_numpy())
+            a, b = (wanted.flatten().field(k).to_numpy().astype(np.int64) - (pos[i] - reach) for k in (0, 1))
+            # a run that was cut between pieces of a text has two rows of one anchor, each with its own starts
+            own = (a >= low[i]) & (b <= high[i])
+            i, a, b = i[own], a[own], b[own]
+            count = b - a + 1
+            j = np.repeat(i, count)
+            s = np.arange(len(j)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) + np.repeat(a, count)
+            core = prints.of(base[j] + s, base[j] + s + length, s + 1)
+            yield _batch((row[j], (pos[j] - reach + s).astype("i4"), core.view(np.int64)), ["row", "first", "core"])
+
+    single = materialise(ranges.join(wanted, ["row", "pos"]).mapInArrow(strings, "row bigint, first int, core bigint"), "strings")
     twice = single.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    found = single.join(twice, "core", "left_semi").select("row", "start", (F.col("start") + length).alias("end"))
-    whole = full.join(sizes, "row").select("row", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), F.least(F.col("pos") + length, F.col("size").cast("bigint")).alias("end")).where(F.col("end") - F.col("start") >= length)
-    return found.unionByName(whole).unionByName(full_parts.select("row", "start", "end"))
+    found = single.join(twice, "core", "left_semi").select("row", "first", F.col("first").alias("last"))
+    runs = found.unionByName(full.select("row", "first", "last")).unionByName(full_parts.select("row", "first", "last"))
+    return runs.select("row", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, batches: int = 2, keep_text: bool = True) -> DataFrame:
