@@ -48,7 +48,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing still to be computed reads."""
+    for df in written:
+        delete_path(df.sparkSession, df.scratch_path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

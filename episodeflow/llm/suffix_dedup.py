@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table, with_row_id
+from .common import add_columns, discard, materialise, read_table, with_row_id
 
 GRAM = 32
 STARTS = 10
@@ -169,11 +169,13 @@ class IndexFamily:
     def add(self, suffixes: DataFrame) -> None:
         """Add a batch (core); levels of one rank are merged."""
         level = suffixes.groupBy("core").agg(F.count("*").alias("n"))
-        rank = 0
+        rank, merged = 0, []
         while rank in self.levels:
-            level = self._merged(self.levels.pop(rank), level)
+            merged.append(self.levels.pop(rank))
+            level = self._merged(merged[-1], level)
             rank += 1
         self.levels[rank] = materialise(level, f"level{rank}")
+        discard(*merged)
 
     @staticmethod
     def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -212,6 +214,7 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> Da
     for b in range(batches):
         family.add(suffixes.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == b).select("core"))
     shared = materialise(suffixes.join(family.repeated(), "core", "left_semi"), "shared")
+    discard(suffixes, *family.levels.values())
 
     full, open_ = settle(shared, "row", "pos", "first", "last")
     near = open_.groupBy("row").agg(F.collect_list(F.struct("pos", "first", "last")).alias("at"))
@@ -287,6 +290,7 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> Da
             yield _batch((row[j], (pos[j] - reach + s).astype("i4"), core.view(np.int64)), ["row", "first", "core"])
 
     single = materialise(ranges.join(wanted, ["row", "pos"]).mapInArrow(strings, "row bigint, first int, core bigint"), "strings")
+    discard(ranges)
     twice = single.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     found = single.join(twice, "core", "left_semi").select("row", "first", F.col("first").alias("last"))
     runs = found.unionByName(full.select("row", "first", "last")).unionByName(full_parts.select("row", "first", "last"))
