@@ -22,6 +22,10 @@ is sorted and read as a stream. A group beyond ``GROUP`` fingerprints is dealt
 out once more in the same way by its other 32 bits, in four blocks of 8; with 48
 bits agreed a group has 65,536 distinct fingerprints at most.
 
+For near copies that differ in more bits than that, ``similar_groups`` deals
+fingerprints out by random choices of bits, joins the tries with a wider budget
+and holds each link found against the shingles of its texts.
+
 Defined cases: a text without words, null included, has fingerprint zero and is
 linked like any other; a text with fewer words than a shingle is one shingle; a
 null id is never the smallest (a component of null ids only has a null id);
@@ -143,24 +147,45 @@ def rotations() -> list[list[int]]:
     return [[*pair, *(b for b in range(4) if b not in pair)] for pair in combinations(range(4), 2)]
 
 
-def _spanning(a, b):
-    """A spanning forest of the links, as links: its components are the same."""
+def _components(a, b):
+    """The nodes of links, the links as places of nodes, and which links join something new, in their order."""
     import numpy as np
 
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     parent = list(range(len(nodes)))
     n = len(a)
-    for i, j in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
+    new = np.zeros(n, bool)
+    for x, (i, j) in enumerate(zip(at[:n].tolist(), at[n:].tolist(), strict=True)):
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         while parent[j] != j:
             parent[j] = j = parent[parent[j]]
         if i != j:
             parent[max(i, j)] = min(i, j)
+            new[x] = True
+    return nodes, parent, new
+
+
+def _star(a, b):
+    """Links of each node to the least of its component: the components are the same."""
+    import numpy as np
+
+    nodes, parent, _ = _components(a, b)
     for i in range(len(nodes)):
         parent[i] = parent[parent[i]]
-    linked = np.array(parent) != np.arange(len(nodes))
-    return nodes[linked], nodes[np.array(parent)[linked]]
+    root = np.array(parent)
+    linked = root != np.arange(len(nodes))
+    return nodes[linked], nodes[root[linked]]
+
+
+def _nearest_forest(a, b):
+    """Those of the links that join something new when the nearest are taken first."""
+    import numpy as np
+
+    order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
+    a, b = a[order], b[order]
+    _, _, new = _components(a, b)
+    return a[new], b[new]
 
 
 def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
@@ -183,64 +208,68 @@ def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
     again = [beside(beside(F.col("g"), 16, beside(blocks[i], 8, blocks[j])), 3, F.lit(r)).bitwiseOR(F.lit(1 << 60)) for r, (i, j, _, _) in enumerate(rotations())]
     finer = dealt.join(large, "g", "left_semi").select(F.explode(F.array(*again)).alias("g"), "fp")
     dealt = dealt.join(large, "g", "left_anti").select("g", "fp").unionByName(finer)
-    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _meet(dealt, budget, 16, _star).select("a", "b")
+
+
+def _meet(dealt: DataFrame, budget: int, leaf: int, links) -> DataFrame:
+    """Links (a, b) within groups of the rows (g, fp), as ``links`` thins them out.
+
+    A group is a trie that is joined with itself; one of ``leaf`` fingerprints or
+    fewer is a leaf, compared as it is.
+    """
 
     def join(batches):
         import numpy as np
         import pyarrow as pa
 
-        def links(g, k):
-            """Of the groups in rows sorted by g: links between fingerprints."""
+        bits = list(range(63, -1, -1))
+
+        def found(g, k):
+            """Of whole groups in rows sorted by g: their links."""
             k = k[np.lexsort((k, g))]
             cut = np.flatnonzero(np.diff(g)) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(g)]
             sizes = ends - starts
-            two = starts[sizes == 2]
-            found = [(two, two + 1)] if len(two) else []
-            if len(two):
-                x = np.bitwise_count(k[two] ^ k[two + 1])
-                found = [(two[x <= budget], two[x <= budget] + 1)]
-            bits = list(range(63, -1, -1))
-            for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
-                own = k[s:e]
-                if e - s <= 16:  # a few leaves are compared as they are
-                    i, j = np.triu_indices(e - s, 1)
-                    near = np.bitwise_count(own[i] ^ own[j]) <= budget
-                    found.append((i[near] + s, j[near] + s))
-                    continue
-                for i, j in trie_pairs(own, own, True, budget, bits):
-                    found.append((i + s, j + s))
-            if not found:
-                return None
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(i):
+            pairs = []
+            for n in range(2, leaf + 1):  # leaves of one size together
+                at = starts[sizes == n]
+                for step in range(0, len(at), max(1, 2_000_000 // (n * n))):
+                    some = at[step : step + max(1, 2_000_000 // (n * n))]
+                    i, j = np.triu_indices(n, 1)
+                    i, j = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                    near = np.bitwise_count(k[i] ^ k[j]) <= budget
+                    pairs.append((i[near], j[near]))
+            for s, e in zip(starts[sizes > leaf].tolist(), ends[sizes > leaf].tolist(), strict=True):
+                for i, j in trie_pairs(k[s:e], k[s:e], True, budget, bits):
+                    pairs.append((i + s, j + s))
+            if not pairs:
                 return None
-            return _spanning(k[i].view(np.int64), k[j].view(np.int64))
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            return links(k[i], k[j]) if len(i) else None
 
-        held_g, held_k = [], []
-        rows = 0
+        def batch_of(g, k):
+            got = found(g, k)
+            return [pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], names=["a", "b"])] if got else []
+
+        held_g, held_k, rows = [], [], 0
         for batch in batches:
             g, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "fp"))
-            k = k.view(np.uint64)
             if not len(g):
                 continue
             held_g.append(g)
-            held_k.append(k)
+            held_k.append(k.view(np.uint64))
             rows += len(g)
             if rows < 100_000:
                 continue
             g, k = np.concatenate(held_g), np.concatenate(held_k)
             end = int(np.searchsorted(g, g[-1]))  # the last group may go on
             if end:
-                got = links(g[:end], k[:end])
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["a", "b"])
+                yield from batch_of(g[:end], k[:end])
             held_g, held_k, rows = [g[end:]], [k[end:]], len(g) - end
         if rows:
-            got = links(np.concatenate(held_g), np.concatenate(held_k))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["a", "b"])
+            yield from batch_of(np.concatenate(held_g), np.concatenate(held_k))
 
+    partitions = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint")
 
 
@@ -260,22 +289,111 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sampled_links(fps: DataFrame, budget: int = 16, tables: int = 96, bits: int = 14, seed: int = 11) -> DataFrame:
+    """Likely links (a, b) within up to ``budget`` bits, nearest first.
+
+    Beyond two bits no few blocks must agree, so each of ``tables`` random choices
+    of ``bits`` bits deals the fingerprints out, and those that agree there meet.
+    A link of nine bits is met with a probability of 0.9999, one of twelve with
+    0.97, one of fourteen with 0.85. Of a group's links, a forest of the nearest is
+    returned; each is a pair that did meet.
+    """
+
+    def deal(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng(seed)
+        chosen = [rng.choice(64, bits, replace=False).astype(np.uint64) for _ in range(tables)]
+        for batch in batches:
+            signed = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(signed), 20_000):
+                part = signed[at : at + 20_000].view(np.uint64)
+                keys = [np.bitwise_or.reduce([((part >> b) & np.uint64(1)) << np.uint64(i) for i, b in enumerate(c)]).astype(np.int64) | t << bits for t, c in enumerate(chosen)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(part.view(np.int64), tables))], names=["g", "fp"])
+
+    dealt = fps.select("fp").mapInArrow(deal, "g bigint, fp bigint")
+    return _meet(dealt, budget, 64, _nearest_forest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+SKETCH = 512
+
+
+def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(fp, n, sketch): the number of a text's different shingles and the least ``SKETCH`` of their hashes."""
+
+    def make():
+        import numpy as np
+        import xxhash
+
+        def apply(texts):
+            ns, sketches = [], []
+            for t in texts:
+                words = (t or b"").translate(LOWER).split()
+                hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words]), 7) for i in range(max(1, len(words) - shingle_words + 1))} if words else set()
+                ns.append(len(hashes))
+                sketches.append(np.sort(np.fromiter(hashes, np.uint64, len(hashes)))[:SKETCH].view(np.uint8).tobytes())
+            return [ns, sketches]
+
+        return apply
+
+    return add_columns(docs, ["text"], [("n", "bigint"), ("sketch", "binary")], make, drop=("text",))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """(row, group) of texts (row, text): rows of one group are near copies.
+
+    Equal fingerprints are one group. Others are linked by ``sampled_links`` (and
+    ``near_links``), each link held against the texts: the Jaccard similarity of
+    their shingles, estimated from the least ``SKETCH`` hashes of both (exact for
+    texts of no more shingles), must reach ``similarity``. The group's name is
+    its smallest row number.
+    """
+    fps = materialise(with_fingerprint(docs.select("row", "text"), "text", shingle_words, drop=("text",)), "fingerprints")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("row").alias("row")), "nodes")
+    near = near_links(nodes.select("fp"), 2)
+    links = materialise(sampled_links(nodes).unionByName(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "links")
+    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+    wanted = nodes.join(ends, "fp", "left_semi")
+    sketches = materialise(_sketches(docs.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("fp", "text"), shingle_words), "sketches")
+    one = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def make():
+        import numpy as np
+
+        def apply(xs, ys):
+            out = []
+            for x, y in zip(xs, ys, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.union1d(x, y)[: max(len(x), len(y), 1)] if max(len(x), len(y)) >= SKETCH else np.union1d(x, y)
+                common = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
+                out.append(float(common.sum() / len(both)) if len(both) else 1.0)
+            return [out]
+
+        return apply
+
+    paired = links.join(one("a"), "a").join(one("b"), "b")
+    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity)  # else they can't be as similar
+    held = add_columns(paired.where(close), ["s_a", "s_b"], [("similarity", "double")], make, drop=("s_a", "s_b"))
+    roots = connected_components(held.where(F.col("similarity") >= similarity).select("a", "b")).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("row").alias("group"))
+    return fps.join(rooted.join(least, "root").select("fp", "group"), "fp").select("row", "group")
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents over shingles of three words."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3)
 
 
 def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the row of the smallest id stays.
+    """Pipeline stage: of each group of near copies one row stays, the first of the table.
 
-    Shingles have five words here; texts whose fingerprints differ in two bits
-    or fewer are near duplicates. Rows that repeat the smallest id are told apart
-    by their place in the table, so one stays. Rows of a null id all stay.
+    Shingles have five words here, and copies a similarity of 0.8 or more.
     """
     from .common import with_row_id
 
     docs = with_row_id(docs)
-    ids = docs.select("doc_id", "text", "_row").where("doc_id is not null")
-    parts = near_duplicates(ids.select(F.struct("doc_id", "_row").alias("doc_id"), "text"))
-    kept = parts.where("doc_id = component_id").select(F.col("doc_id._row").alias("_row"))
-    return docs.where("doc_id is null").drop("_row").unionByName(docs.where("doc_id is not null").join(kept, "_row", "left_semi").drop("_row"))
+    groups = similar_groups(docs.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")))
+    kept = groups.where("row = group").select(F.col("row").alias("_row"))
+    return docs.join(kept.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
