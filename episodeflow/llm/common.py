@@ -59,6 +59,18 @@ def discard(*written: DataFrame) -> None:
         delete_path(df.sparkSession, df.scratch_path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(written: DataFrame) -> DataFrame:
+    """A written table of few narrow columns as the small side of a join.
+
+    It is broadcast if its counted rows are at most ``BROADCAST_ROWS``, a few tens
+    of MB; a larger one is hashed within each partition of a shuffle.
+    """
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("shuffle_hash")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path, wherever it is stored."""
     jvm = spark.sparkContext._jvm

@@ -15,8 +15,9 @@ every text.
 A pattern's matches are leftmost and don't overlap. Their offsets are sums of
 the lengths of the matches and of the pieces between them, in code points.
 
-The index sends only row numbers through shuffles; texts move once, to meet
-their candidates' rules, dealt out by row number.
+The index sends only row numbers through shuffles. Texts stay where they are
+while the candidates are few enough to be broadcast (``common.small_side``);
+beyond that they move once, dealt out by row number.
 
 Defined cases: a null text is empty and has no secrets; repeated rows and null
 ids are scanned each; an empty table gives an empty result; other columns pass
@@ -31,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, with_row_id
+from .common import materialise, read_table, small_side, with_row_id
 from .trigrams import query
 
 SEGMENT_BITS = 12
@@ -137,7 +138,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "t
     numbered = rows.select("_row", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = candidates(numbered, rules)
     if found is not None:
-        rows = rows.join(found.hint("shuffle_hash"), "_row", "left")
+        rows = rows.join(small_side(materialise(found, "candidates")), "_row", "left")
     else:
         rows = rows.withColumn("rules", F.lit(None).cast("array<string>"))
     rows = rows.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))

@@ -39,7 +39,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table
+from .common import add_columns, materialise, read_table, small_side, with_row_id
 from .components import connected_components
 
 FRONTIER = 400_000
@@ -47,17 +47,26 @@ GROUP = 20_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint_of(shingle_words: int):
-    """A function from a text's bytes to its fingerprint as a signed 64-bit integer."""
+def fingerprint_of(shingle_words: int, second: bool = False):
+    """A function from a text's bytes to its fingerprint as a signed 64-bit integer.
+
+    With ``second``, to a pair: a further fingerprint is taken of the same hashes mixed.
+    """
     import numpy as np
     import xxhash
 
     digest, k = xxhash.xxh64_intdigest, shingle_words
 
-    def of(text: bytes | None) -> int:
+    def majority(packed) -> int:
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(packed), 65_536):  # 64 bytes for each hash at most at a time
+            counts += np.unpackbits(packed[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return int(np.packbits(counts * 2 > len(packed), bitorder="little").view("<i8")[0])
+
+    def of(text: bytes | None):
         words = (text or b"").translate(LOWER).split()
         if not words:
-            return 0
+            return (0, 0) if second else 0
         if len(words) <= k:
             hashes = [digest(b" ".join(words), 42)]
         else:
@@ -66,13 +75,11 @@ def fingerprint_of(shingle_words: int):
             ends = np.cumsum(sizes) - 1
             starts = (ends + 1 - sizes)[: len(words) - k + 1].tolist()
             hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
-        n = len(hashes)
-        counts = np.zeros(64, np.int64)
         packed = np.array(hashes, np.uint64)
-        for at in range(0, n, 65_536):  # 64 bytes for each hash at most at a time
-            counts += np.unpackbits(packed[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = np.packbits(counts * 2 > n, bitorder="little").view("<u8")
-        return int(bits.view("<i8")[0])
+        if not second:
+            return majority(packed)
+        mixed = (packed ^ packed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        return majority(packed), majority(mixed ^ mixed >> np.uint64(29))
 
     return of
 
@@ -215,8 +222,10 @@ def _meet(dealt: DataFrame, budget: int, leaf: int, links) -> DataFrame:
     """Links (a, b) within groups of the rows (g, fp), as ``links`` thins them out.
 
     A group is a trie that is joined with itself; one of ``leaf`` fingerprints or
-    fewer is a leaf, compared as it is.
+    fewer is a leaf, compared as it is. Where the rows have a second fingerprint
+    fp2, it must be within the budget too.
     """
+    columns = [c for c in ("g", "fp", "fp2") if c in dealt.columns]
 
     def join(batches):
         import numpy as np
@@ -224,9 +233,10 @@ def _meet(dealt: DataFrame, budget: int, leaf: int, links) -> DataFrame:
 
         bits = list(range(63, -1, -1))
 
-        def found(g, k):
+        def found(g, k, *more):
             """Of whole groups in rows sorted by g: their links."""
-            k = k[np.lexsort((k, g))]
+            order = np.lexsort((k, g))
+            k, more = k[order], [m[order] for m in more]
             cut = np.flatnonzero(np.diff(g)) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(g)]
             sizes = ends - starts
@@ -245,32 +255,34 @@ def _meet(dealt: DataFrame, budget: int, leaf: int, links) -> DataFrame:
             if not pairs:
                 return None
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            for m in more:
+                near = np.bitwise_count(m[i] ^ m[j]) <= budget
+                i, j = i[near], j[near]
             return links(k[i], k[j]) if len(i) else None
 
-        def batch_of(g, k):
-            got = found(g, k)
+        def batch_of(*rows):
+            got = found(*rows)
             return [pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], names=["a", "b"])] if got else []
 
-        held_g, held_k, rows = [], [], 0
+        held, rows = [], 0
         for batch in batches:
-            g, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "fp"))
-            if not len(g):
+            if not batch.num_rows:
                 continue
-            held_g.append(g)
-            held_k.append(k.view(np.uint64))
+            g, *k = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
+            held.append((g, *[x.view(np.uint64) for x in k]))
             rows += len(g)
             if rows < 100_000:
                 continue
-            g, k = np.concatenate(held_g), np.concatenate(held_k)
-            end = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
             if end:
-                yield from batch_of(g[:end], k[:end])
-            held_g, held_k, rows = [g[end:]], [k[end:]], len(g) - end
+                yield from batch_of(*[x[:end] for x in whole])
+            held, rows = [tuple(x[end:] for x in whole)], len(whole[0]) - end
         if rows:
-            yield from batch_of(np.concatenate(held_g), np.concatenate(held_k))
+            yield from batch_of(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     partitions = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint")
+    return dealt.repartition(partitions, "g").sortWithinPartitions("g").select(*columns).mapInArrow(join, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, budget: int = 2) -> DataFrame:
@@ -289,14 +301,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_links(fps: DataFrame, budget: int = 16, tables: int = 96, bits: int = 14, seed: int = 11) -> DataFrame:
+def sampled_links(fps: DataFrame, budget: int = 16, tables: int = 80, bits: int = 14, seed: int = 11) -> DataFrame:
     """Likely links (a, b) within up to ``budget`` bits, nearest first.
 
     Beyond two bits no few blocks must agree, so each of ``tables`` random choices
     of ``bits`` bits deals the fingerprints out, and those that agree there meet.
-    A link of nine bits is met with a probability of 0.9999, one of twelve with
-    0.97, one of fourteen with 0.85. Of a group's links, a forest of the nearest is
-    returned; each is a pair that did meet.
+    A link of nine bits is met with a probability of 0.9995, one of eleven with
+    0.98, one of fourteen with 0.79. A second fingerprint (fp2) must be as near,
+    which leaves hardly any link by chance. Of a group's links, a forest of the
+    nearest is returned; each is a pair that did meet.
     """
 
     def deal(batches):
@@ -306,13 +319,13 @@ def sampled_links(fps: DataFrame, budget: int = 16, tables: int = 96, bits: int
         rng = np.random.default_rng(seed)
         chosen = [rng.choice(64, bits, replace=False).astype(np.uint64) for _ in range(tables)]
         for batch in batches:
-            signed = batch.column(0).to_numpy(zero_copy_only=False)
+            signed, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "fp2"))
             for at in range(0, len(signed), 20_000):
                 part = signed[at : at + 20_000].view(np.uint64)
                 keys = [np.bitwise_or.reduce([((part >> b) & np.uint64(1)) << np.uint64(i) for i, b in enumerate(c)]).astype(np.int64) | t << bits for t, c in enumerate(chosen)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(part.view(np.int64), tables))], names=["g", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(part.view(np.int64), tables)), pa.array(np.tile(other[at : at + 20_000], tables))], names=["g", "fp", "fp2"])
 
-    dealt = fps.select("fp").mapInArrow(deal, "g bigint, fp bigint")
+    dealt = fps.select("fp", "fp2").mapInArrow(deal, "g bigint, fp bigint, fp2 bigint")
     return _meet(dealt, budget, 64, _nearest_forest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -349,13 +362,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     texts of no more shingles), must reach ``similarity``. The group's name is
     its smallest row number.
     """
-    fps = materialise(with_fingerprint(docs.select("row", "text"), "text", shingle_words, drop=("text",)), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("row").alias("row")), "nodes")
+
+    def both():
+        of = fingerprint_of(shingle_words, second=True)
+        return lambda texts: list(zip(*map(of, texts), strict=True))
+
+    fps = materialise(add_columns(docs.select("row", "text"), ["text"], [("fp", "bigint"), ("fp2", "bigint")], both, drop=("text",)), "fingerprints")
+    nodes = materialise(fps.groupBy("fp").agg(F.min(F.struct("row", "fp2")).alias("x")).select("fp", "x.row", "x.fp2"), "nodes")
     near = near_links(nodes.select("fp"), 2)
     links = materialise(sampled_links(nodes).unionByName(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "links")
     ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = nodes.join(ends, "fp", "left_semi")
-    sketches = materialise(_sketches(docs.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("fp", "text"), shingle_words), "sketches")
+    wanted = materialise(nodes.join(ends, "fp", "left_semi").select("row", "fp"), "ends")
+    sketches = materialise(_sketches(docs.select("row", "text").join(small_side(wanted), "row").select("fp", "text"), shingle_words), "sketches")
     one = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def make():
@@ -391,9 +409,7 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Shingles have five words here, and copies a similarity of 0.8 or more.
     """
-    from .common import with_row_id
-
     docs = with_row_id(docs)
     groups = similar_groups(docs.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")))
-    kept = groups.where("row = group").select(F.col("row").alias("_row"))
-    return docs.join(kept.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
+    gone = materialise(groups.where("row <> group").select(F.col("row").alias("_row")), "copies")
+    return docs.join(small_side(gone), "_row", "left_anti").drop("_row")

@@ -256,6 +256,35 @@ def test_simhash_edges(spark, odd, empty):
     assert (1, "0" * 16, 1) in rows and (2, "0" * 16, 1) in rows and len(rows) == 6 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_of_a_few_changed_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9)))
+    docs, family = [], {}
+    for f in range(150):
+        text = [word() for _ in range(rng.randint(60, 300))]
+        for _ in range(rng.randint(1, 5)):
+            own = list(text)
+            for _ in range(len(own) // 100):
+                own[rng.randrange(len(own))] = word()
+            family[len(docs)] = f
+            docs.append((len(docs), " ".join(own)))
+    far = [w for w in docs[0][1].split()]
+    for i in range(0, len(far), 6):
+        far[i] = word()
+    docs.append((len(docs), " ".join(far)))  # too many words changed
+    family[len(docs) - 1] = -1
+    groups = {r.row: r.group for r in simhash.similar_groups(spark.createDataFrame(docs, "row bigint, text string")).collect()}
+    met = collections.defaultdict(set)
+    for row, g in groups.items():
+        met[g].add(family[row])
+    assert all(len(v) == 1 for v in met.values()) and len(met) <= 155
+
+
+def test_near_duplicate_stage_edges(spark, odd, empty):
+    kept = simhash.keep_one_of_each_group(spark, odd, "")
+    assert kept.columns == odd.columns and kept.count() == 4 and simhash.keep_one_of_each_group(spark, empty, "").count() == 0
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 
