@@ -168,3 +168,29 @@ def format_of(path: Column, head: Column) -> Column:
     """A file's format by its extension, else by its first bytes."""
     low = F.lower(path)
     return F.when(low.endswith(".npz"), "npz").when(low.endswith(".h5") | low.endswith(".hdf5"), "hdf5").when(low.endswith(".parquet"), "parquet").when(F.substring(head, 1, 4) == F.lit(b"SHRD"), "container").when(F.substring(head, 1, 4) == F.lit(b"PK\x03\x04"), "npz").when(F.substring(head, 1, 4) == F.lit(b"\x89HDF"), "hdf5").when(F.substring(head, 1, 4) == F.lit(b"PAR1"), "parquet").otherwise("unknown")
+
+
+#: Content types by number; from ``USER_TYPES`` on they are the user's.
+CONTENT_TYPES = {1: "tensor", 2: "json", 5: "text", 6: "image", 7: "audio", 8: "video", 9: "proto", 10: "blob", 12: "tensor_v3", 13: "anchor_shared", 14: "delta_expert", 15: "codebook_shared", 16: "expert_indices", 17: "column"}
+USER_TYPES = 0x8000
+#: Roles of a container by number.
+ROLES = {1: "model", 2: "sample", 3: "panel", 4: "manifest", 5: "episode", 6: "universal_model", 8: "column"}
+
+
+def content_type_name(number: Column) -> Column:
+    user = F.concat(F.lit("user:"), (number - USER_TYPES).cast("string"))
+    return F.when(number >= USER_TYPES, user).otherwise(F.coalesce(_lookup(number.cast("int"), CONTENT_TYPES), F.lit("unknown")))
+
+
+def role_name(number: Column) -> Column:
+    return F.coalesce(_lookup(number.cast("int"), ROLES), F.concat(F.lit("unknown:"), number.cast("string")))
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"^(.*?)(\.[^.]*)?$", 1)
+
+
+def episode_of_file(path: Column) -> Column:
+    """The second part of a stem of four or more parts between dashes, else the stem."""
+    parts = F.split(file_stem(path), "-")
+    return F.when(F.size(parts) >= 4, F.get(parts, F.lit(1))).otherwise(file_stem(path))

@@ -133,3 +133,30 @@ def first_by_name(names: DataFrame, ordinal: str = "entry_idx") -> DataFrame:
     """Of entries with one name the first, as a lookup by name finds it."""
     w = Window.partitionBy("name").orderBy(ordinal)
     return names.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def map_names(tensors: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """Tensors with the source name of their canonical name and the other way; null where no map has it.
+
+    ``names`` (canon, source) is a stated table and joined by key.
+    """
+    source = names.select(F.col("canon").alias(name), F.col("source").alias("source_name"))
+    canon = names.select(F.col("source").alias(name), F.col("canon").alias("canon_name"))
+    return tensors.join(source, name, "left").join(canon, name, "left")
+
+
+def join_channels(blocks: DataFrame, channels: DataFrame) -> DataFrame:
+    """Blocks with the dtype of their channel, found by short id and else by full name."""
+    short = channels.select(F.concat(F.lit("signal/"), "id").alias("name"), F.col("dtype").alias("_short")).dropDuplicates(["name"])
+    full = channels.select(F.col("id").alias("name"), F.col("dtype").alias("_full")).dropDuplicates(["name"])
+    found = blocks.join(short, "name", "left").join(full, "name", "left")
+    return found.withColumn("dtype", F.coalesce("_short", "_full")).drop("_short", "_full")
+
+
+def list_files(files: DataFrame, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """File names in order, of stated ids, the first ``limit`` of them."""
+    from ..functions.names import file_stem
+
+    rows = files if ids is None else files.where(file_stem(F.col("path")).isin(ids))
+    rows = rows.orderBy("path")
+    return rows if limit is None else rows.limit(limit)

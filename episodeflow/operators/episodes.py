@@ -140,3 +140,17 @@ def reshape(flat: Column, width: int) -> Column:
     """A flat array as an array of rows of ``width``."""
     rows = F.sequence(F.lit(0), (F.size(flat) / width).cast("int") - 1)
     return F.when(F.size(flat) < width, F.array().cast("array<array<double>>")).otherwise(F.transform(rows, lambda i: F.slice(flat, i * width + 1, width).cast("array<double>")))
+
+
+def embed(pooled: DataFrame, function=None, vector: str = "embedding") -> DataFrame:
+    """Apply a user's function of one vector to each; without one they stay as they are."""
+    if function is None:
+        return pooled
+
+    @F.pandas_udf("array<double>")
+    def of(s):
+        import numpy as np
+
+        return s.map(lambda v: None if v is None else np.asarray(function(np.asarray(v, np.float64)), np.float64))
+
+    return pooled.withColumn(vector, of(F.col(vector)))

@@ -571,3 +571,70 @@ def f_bin12(spark, d):
     from ..functions.binary import crc32c_of, xxh64_of
 
     return table(spark, d, "documents").select("doc_id", crc32c_of(F.col("text").cast("binary")).alias("crc32c"), xxh64_of(F.col("text")).alias("xxh64"))
+
+
+@query("f_str8_type_names", "SELECT event_id, CASE event_id % 20 WHEN 1 THEN 'tensor' WHEN 2 THEN 'json' WHEN 5 THEN 'text' WHEN 6 THEN 'image' WHEN 7 THEN 'audio' WHEN 8 THEN 'video' WHEN 9 THEN 'proto' WHEN 10 THEN 'blob' WHEN 12 THEN 'tensor_v3' WHEN 13 THEN 'anchor_shared' WHEN 14 THEN 'delta_expert' WHEN 15 THEN 'codebook_shared' WHEN 16 THEN 'expert_indices' WHEN 17 THEN 'column' ELSE CASE WHEN event_id % 20 = 19 THEN 'user:7' ELSE 'unknown' END END AS content_type, CASE WHEN event_id % 9 IN (0, 7) THEN 'unknown:' || (event_id % 9) ELSE ['model', 'sample', 'panel', 'manifest', 'episode', 'universal_model', '', 'column'][event_id % 9] END AS role FROM events")
+def f_str8(spark, d):
+    n = F.col("event_id") % 20
+    number = F.when(n == 19, N.USER_TYPES + 7).otherwise(n)
+    return table(spark, d, "events").select("event_id", N.content_type_name(number).alias("content_type"), N.role_name(F.col("event_id") % 9).alias("role"))
+
+
+@query("f_str10_file_names", "SELECT page_id, 'p' || page_id AS stem, CASE WHEN page_id % 2 = 0 THEN 'u' || page_id ELSE 'p' || page_id END AS episode FROM pages")
+def f_str10(spark, d):
+    p = F.col("page_id").cast("string")
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("a/b.c/p"), p, F.lit(".npz")).alias("path"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("x/2020-u"), p, F.lit("-a-b.npz"))).otherwise(F.concat(F.lit("x/p"), p, F.lit(".npz"))).alias("file"))
+    return rows.select("page_id", N.file_stem(F.col("path")).alias("stem"), N.episode_of_file(F.col("file")).alias("episode"))
+
+
+@query("f_dt2_timebase", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 60.0::DOUBLE END, CASE WHEN event_id % 2 = 0 THEN 20.0::DOUBLE END, 30.0::DOUBLE) AS tick_hz FROM events")
+def f_dt2(spark, d):
+    own, file = F.when(F.col("event_id") % 3 == 0, 60.0), F.when(F.col("event_id") % 2 == 0, 20.0)
+    return table(spark, d, "events").select("event_id", F.coalesce(own, file, F.lit(30.0)).alias("tick_hz"))
+
+
+@query("j09_name_map", f"WITH {TENSORS}, u AS (SELECT DISTINCT name FROM tn), m AS (SELECT name AS canon, 'src.' || name AS source FROM u WHERE name LIKE 'layers%'), x AS (SELECT name FROM u UNION ALL SELECT source FROM m) SELECT x.name, a.source AS source_name, b.canon AS canon_name FROM x LEFT JOIN m a ON a.canon = x.name LEFT JOIN m b ON b.source = x.name")
+def j09(spark, d):
+    names = _tensors(spark, d).select("name").distinct()
+    pairs = names.where("name like 'layers%'").select(F.col("name").alias("canon"), F.concat(F.lit("src."), "name").alias("source"))
+    return C.map_names(names.unionByName(pairs.select(F.col("source").alias("name"))), pairs)
+
+
+@query("j10_o07_block_channels", f"WITH {BL}, u AS (SELECT DISTINCT name FROM bl) SELECT name, CASE WHEN name = 'signal/c1/click' THEN 'f32' WHEN name = 'action/c2/view' THEN 'u8' END AS dtype FROM u ORDER BY name DESC")
+def j10(spark, d):
+    channels = spark.createDataFrame([("c1/click", "f32"), ("action/c2/view", "u8")], "id string, dtype string")
+    return C.join_channels(blocks(spark, d).select("name").distinct(), channels).orderBy(F.desc("name"))
+
+
+@query("s21_file_listing", "SELECT 'd/' || page_id || '.bin' AS path FROM pages WHERE page_id::VARCHAR IN ('1', '3', '5', '7') ORDER BY path LIMIT 3")
+def s21(spark, d):
+    files = table(spark, d, "pages").select(F.concat(F.lit("d/"), F.col("page_id").cast("string"), F.lit(".bin")).alias("path"))
+    return C.list_files(files, ["1", "3", "5", "7"], 3)
+
+
+@query("x01_embedder", f"WITH {LI}, u AS (SELECT episode_id, unnest(range(4)) AS dim, unnest(v) AS x FROM li) SELECT episode_id, dim, round(2 * avg(x) + 1, 7) AS m FROM u GROUP BY ALL")
+def x01(spark, d):
+    pooled = E.embed(E.mean_pool(item_steps(spark, d), "v"), lambda v: 2 * v + 1)
+    return pooled.select("episode_id", F.posexplode("embedding").alias("dim", "m")).withColumn("m", F.round("m", 7))
+
+
+@query("f_json3_tags", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'gold,new' ELSE 'gold' END AS tags FROM events")
+def f_json3(spark, d):
+    tags = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("gold"), F.lit("new"))).otherwise(F.array(F.lit("gold")))
+    again = F.when(F.col("event_id") % 2 == 0, C.add_tag(F.col("t"), "new")).otherwise(C.add_tag(F.col("t"), "gold"))
+    return table(spark, d, "events").select("event_id", tags.alias("t")).select("event_id", F.array_join(again, ",").alias("tags"))
+
+
+@query("s15_k07_npz_round_trip", f"WITH {EV} SELECT episode_id || '' AS episode_id, t, round(x, 9) AS reward, coalesce(lag(terminated OR truncated) OVER w, true) AS is_first, terminated OR truncated OR lead(1) OVER w IS NULL AS is_last FROM ev WINDOW w AS (PARTITION BY episode_id ORDER BY t)")
+def s15(spark, d):
+    from ..sources.npz import pack_npz, parse_npz
+
+    packed = pack_npz(event_steps(spark, d), {"reward": "x"})
+    return parse_npz(packed).where("lane = 'reward'").select("episode_id", "t", F.round(F.get("value", F.lit(0)), 9).alias("reward"), "is_first", "is_last")
+
+
+@query("cli1_inspect", f"WITH {EV} SELECT episode_id || '.bin' AS file, 5 AS n_blocks, sum(8 * 3 + 1 + 4)::BIGINT AS orig_size FROM ev GROUP BY episode_id")
+def cli1(spark, d):
+    from ..sources.container import inspect, parse_blocks
+
+    return inspect(parse_blocks(_containers(spark, d), payload=False, verify=False).where("lane <> 'meta'")).select("file", "n_blocks", "orig_size")

@@ -291,3 +291,34 @@ def write_files(files: DataFrame, path: str) -> None:
     os.makedirs(path, exist_ok=True)
     files.sparkSession.dataSource.register(Containers)
     files.select("path", "content").write.format("episode_container").mode("append").save(path)
+
+
+def file_metadata(files: DataFrame) -> DataFrame:
+    """(file, metadata): the JSON behind a container's schema offset, null where it has none."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for content in batch.column("content"):
+                data = content.as_py()
+                at = read_header(data)["schema"]
+                out.append(data[at:].decode("utf-8", "replace") if at else None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["file", "metadata"])
+
+    return files.select("path", "content").mapInArrow(run, "file string, metadata string")
+
+
+def with_metadata(container: bytes, metadata: bytes) -> bytes:
+    """A container with JSON metadata at its end."""
+    head = list(_HEAD.unpack_from(container))
+    head[3] |= 0x10
+    head[10], head[11] = len(container), len(container) + len(metadata)
+    return _HEAD.pack(*head) + container[HEADER:] + metadata
+
+
+def inspect(blocks: DataFrame) -> DataFrame:
+    """Of each file: its blocks, how many are compressed, sizes and their ratio."""
+    compressed = F.count_if(F.col("codec") != "none")
+    return blocks.groupBy("file").agg(F.count("*").alias("n_blocks"), compressed.alias("n_compressed"), F.sum("orig_size").alias("orig_size"), F.sum("disk_size").alias("disk_size"), (F.sum("orig_size") / F.sum("disk_size")).alias("ratio"))

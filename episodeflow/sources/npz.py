@@ -33,7 +33,11 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
 
     Pickled arrays are refused.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return parse_npz(spark.read.format("binaryFile").load(path))
+
+
+def parse_npz(files: DataFrame) -> DataFrame:
+    """The steps of replay archives (path, content)."""
 
     schema = _arrow_schema(STEPS)
 
@@ -55,7 +59,7 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
                     columns = [[path_] * m, [episode_id_of(path_)] * m, range(m), [name] * m, [lane] * m, list(a), flag("is_last")[:m], terminal[:m], flag("is_first")[:m]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
 
-    return files.mapInArrow(run, STEPS)
+    return files.select("path", "content").mapInArrow(run, STEPS)
 
 
 def npz_bytes(arrays: dict) -> bytes:
@@ -64,3 +68,31 @@ def npz_bytes(arrays: dict) -> bytes:
     out = io.BytesIO()
     np.savez_compressed(out, **arrays)
     return out.getvalue()
+
+
+def pack_npz(steps: DataFrame, arrays: dict[str, str], by: str = "episode_id", order: str = "t") -> DataFrame:
+    """(path, content): a replay archive for each episode, with its flags.
+
+    ``steps`` has terminated and truncated; is_first, is_last and is_terminal are
+    derived. ``arrays`` maps keys to columns.
+    """
+    from pyspark.sql import functions as F
+
+    from ..operators.episodes import boundary_flags
+
+    flagged = boundary_flags(steps, by=by, order=order).withColumn("is_terminal", F.col("terminated"))
+    keys = {**arrays, "is_first": "is_first", "is_last": "is_last", "is_terminal": "is_terminal"}
+    rows = flagged.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, *sorted(set(keys.values()))))).alias("s"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [[], []]
+            for r in batch.to_pylist():
+                out[0].append(f"{r['id']}.npz")
+                out[1].append(npz_bytes({k: np.array([s[c] for s in r["s"]]) for k, c in keys.items()}))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.binary())], names=["path", "content"])
+
+    return rows.select(F.col(by).cast("string").alias("id"), "s").mapInArrow(run, "path string, content binary")

@@ -205,6 +205,32 @@ def test_container_files(spark, tmp_path):
         C.read_blocks(spark, str(tmp_path / "worse.bin")).collect()
 
 
+def test_metadata_and_command_line(spark, tmp_path, capsys):
+    from episodeflow.__main__ import main
+
+    data = C.with_metadata(C.write_container({"done": b"ab"}), b'{"tags":["x"]}')
+    (tmp_path / "a.bin").write_bytes(data)
+    (tmp_path / "b.bin").write_bytes(C.write_container({"done": b"cd"}))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert {r.file.rsplit("/", 1)[1]: r.metadata for r in C.file_metadata(files).collect()} == {"a.bin": '{"tags":["x"]}', "b.bin": None}
+    assert main(["inspect", str(tmp_path)]) == 0 and main(["verify", "--strict", str(tmp_path)]) == 0
+    (tmp_path / "c.bin").write_bytes(b"SHRD")
+    assert main(["verify", str(tmp_path)]) == 1 and "cut short" in capsys.readouterr().out
+
+
+def test_segments_and_tensors():
+    parts = [b"", b"ab", b"x" * 300]
+    assert B.unpack_segments(B.pack_segments(parts)) == parts
+    with pytest.raises(ValueError):
+        B.unpack_segments(B.pack_segments(parts)[:-1])
+    data = B.tensor_v1_encode([1.5, 2.5], 1, "f32", [2, 1])
+    kind, dims, values = B.tensor_v1_decode(data, {1: "f32"})
+    assert (kind, dims, values.tolist()) == ("f32", (2, 1), [1.5, 2.5])
+    for wrong in (data[:-1], data + b"x", data[:6]):
+        with pytest.raises(ValueError):
+            B.tensor_v1_decode(wrong, {1: "f32"})
+
+
 def test_npz(spark, tmp_path):
     import numpy as np
 
