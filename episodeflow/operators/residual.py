@@ -17,11 +17,23 @@ def sign_of_peak(before: Column, now: Column, after: Column) -> Column:
     return F.when(before.isNull() | after.isNull() | F.isnan(d), 0).when(d > 0, 1).when(d < 0, -1).otherwise(0)
 
 
-def sign2nd_diff(steps: DataFrame, value: str, by: tuple[str, ...] = ("episode_id",), order: str = "t", out: str = "residual") -> DataFrame:
-    """Add the sign of the negated second difference; 0 at the first and last step."""
-    w = Window.partitionBy(*by).orderBy(order)
+def sign2nd_diff(steps: DataFrame, value: str, by: tuple[str, ...] = ("episode_id",), order: str = "t", out: str = "residual", block: int | None = None) -> DataFrame:
+    """Add the sign of the negated second difference; 0 at the first and last step.
+
+    With ``block``, an episode is dealt out in blocks of so many steps, so one that
+    holds a large share of all rows is many tasks' work. Its steps must then be
+    numbered without gaps; the steps at a block's ends go to its neighbours too.
+    """
     x = F.col(value)
-    return steps.withColumn(out, sign_of_peak(F.lag(x).over(w), x, F.lead(x).over(w)))
+    if block is None:
+        w = Window.partitionBy(*by).orderBy(order)
+        return steps.withColumn(out, sign_of_peak(F.lag(x).over(w), x, F.lead(x).over(w)))
+    own, place = F.floor(F.col(order) / block).cast("bigint"), F.col(order) % block
+    to = F.array_compact(F.array(own, F.when((place == 0) & (own > 0), own - 1), F.when(place == block - 1, own + 1)))
+    w = Window.partitionBy(*by, "_block").orderBy(order)
+    dealt = steps.withColumn("_block", F.explode(to))
+    signs = dealt.withColumn(out, sign_of_peak(F.lag(x).over(w), x, F.lead(x).over(w)))
+    return signs.where(F.col("_block") == own).drop("_block")
 
 
 def sign2nd_diff_vector(steps: DataFrame, value: str, by: tuple[str, ...] = ("episode_id",), order: str = "t", out: str = "residual") -> DataFrame:

@@ -38,6 +38,13 @@ def test_sign2nd_diff_vectors(spark):
     assert got == {0: [0, 1, 0], 1: [0, -1, 0], 2: [0, 0, 0, 0], 3: [0, 0], 4: [0, 0, 0]}
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_sign2nd_diff_in_blocks(spark, block):
+    df = steps(spark, [5, 1, 4, 4, 2, 8, 8, 0, 3, 1], [1], [2, 1], [])
+    whole = R.sign2nd_diff(df, "x")
+    assert column(R.sign2nd_diff(df, "x", block=block), "residual") == column(whole, "residual")
+
+
 def test_sign2nd_diff_of_columns(spark):
     rows = [(0, 10), (0, 10), (10, 0), (0, 10), (0, 10)]
     df = spark.createDataFrame([(0, t, [float(a), float(b)]) for t, (a, b) in enumerate(rows)], "episode_id int, t bigint, v array<double>")
@@ -265,6 +272,24 @@ def test_recording_stream(spark, tmp_path):
     assert set(got) == {"a", "c"} and got["a"].ts == [0, 1, 2] and got["a"].total_reward == 3.0 and (got["c"].status, got["c"].length, got["c"].ts) == ("too_long", 10, [])
 
 
+def test_windows_and_sessions_of_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from episodeflow.streaming import recorder as S
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [("a", i, "x", [0.0], 1.0, False, at(m)) for i, m in enumerate([0, 1, 2, 20, 21, 90])]
+    spark.createDataFrame(rows, S.STEP).write.parquet(str(tmp_path / "in"))
+    results = {}
+    for name, f in (("tumbling", lambda s: S.windowed_rewards(s, "10 minutes")), ("sliding", lambda s: S.windowed_rewards(s, "10 minutes", "5 minutes")), ("session", lambda s: S.session_rewards(s, "10 minutes"))):
+        stream = f(S.read_steps(spark, str(tmp_path / "in")))
+        stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        results[name] = sorted(((r.w.start.hour * 60 + r.w.start.minute, r.n) for r in spark.table(name).collect()))
+    assert results["tumbling"] == [(0, 3), (20, 2)]
+    assert len(results["sliding"]) == 4 and sorted(n for _, n in results["sliding"]) == [2, 2, 3, 3]
+    assert results["session"] == [(0, 3), (20, 2)]
+
+
 # --- all queries --------------------------------------------------------------------------
 
 
