@@ -287,3 +287,20 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows with a window of any item go, others stay as they are."""
     found = match_items(docs, read_table(spark, sf_dir, "benchmark"))
     return found.where(F.size("items") == 0).select(docs.columns)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7_SQL = f"""
+WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+im AS (SELECT item_id, w, least(8, len(w)) AS m FROM iw WHERE len(w) > 0),
+ix AS (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM im),
+win AS (SELECT DISTINCT item_id::VARCHAR AS item, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM ix),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+dx AS (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
+hit AS (SELECT r, i, win.m, item FROM (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM dx) d JOIN win ON win.m = d.m AND win.s = d.s),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM dw LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""

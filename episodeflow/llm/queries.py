@@ -28,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.OP1_SQL,
         "op2_secrets": secrets.OP2_SQL,
         "op3_chat": chat.OP3_SQL,
+        "op7_decontaminate": decontaminate.OP7_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
     }

@@ -427,7 +427,7 @@ def test_sql_oracles(spark):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("pages", "documents", "conversations"):
+    for t in ("pages", "documents", "conversations", "benchmark"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         rows = queries.queries()[name](spark, d)
