@@ -43,7 +43,7 @@ SAMPLE = 10_000
 ORDER, BITS, DISCOUNT, TOP = 5, 12, 0.75, 3
 #: Table sizes are primes, so that remainders mix all characters of a sequence.
 SLOTS = 1_048_573
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 LABELS = ("n0", "n1", "m0", "m1")
 HELD_OUT, CALIBRATION = 0, 4  # of the remainder of crc32(id) by 5
 
@@ -108,12 +108,12 @@ def _count_keys(docs: DataFrame) -> DataFrame:
                 if label is not None:
                     counted[label].update(words)
             words = list((met - seen).union(*counted))
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
                 keys, sizes = word_keys(part)
                 add(keys, np.repeat(np.array([[c[w] for c in counted] for w in part]), sizes, axis=0))
             seen = seen | met if len(seen) + len(met) < KNOWN_WORDS else met
-            if len(held[0]) > 2_000_000:
+            if len(held[0]) > 400_000:
                 yield out()
                 held[:] = np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
         if len(held[0]):
@@ -154,17 +154,24 @@ class Models:
             self.shared_contexts[order] = table(grams, f"shiftright(key, {BITS})", "n", "1")
 
     def __getstate__(self):
-        """The tables compressed: most slots of a small model are empty."""
-        import pickle
-        import zlib
+        """The slots in use alone: most of a small model are empty."""
+        import numpy as np
+
+        def used(table):
+            at = np.flatnonzero(table.any(axis=0)).astype(np.int32)
+            return table.shape, at, table[:, at]
 
-        return zlib.compress(pickle.dumps(self.__dict__, 5), 1)
+        return {k: {o: used(t) for o, t in v.items()} if isinstance(v, dict) else used(v) for k, v in self.__dict__.items()}
 
     def __setstate__(self, state):
-        import pickle
-        import zlib
+        import numpy as np
+
+        def whole(shape, at, values):
+            table = np.zeros(shape, np.float32)
+            table[:, at] = values
+            return table
 
-        self.__dict__ = pickle.loads(zlib.decompress(state))
+        self.__dict__ = {k: {o: whole(*t) for o, t in v.items()} if isinstance(v, dict) else whole(*v) for k, v in state.items()}
 
     def backoff(self, key, order: int):
         """The shared probability of the last character after the ``order - 1`` before it."""
@@ -211,8 +218,8 @@ class Scorer:
         if len(self.known) > KNOWN_WORDS:
             self.reset()
         new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
             keys, sizes = word_keys(part)
             sums = np.add.reduceat(self.models.ratios(keys), np.r_[0, np.cumsum(sizes)[:-1]])
             self.known.update(zip(part, range(len(self.ratio), len(self.ratio) + len(part)), strict=True))
@@ -225,7 +232,7 @@ class Scorer:
         at = 0
         while at < len(texts):  # in groups of bounded size
             group, size = [], 0
-            while at + len(group) < len(texts) and size < 8_000_000:
+            while at + len(group) < len(texts) and size < 2_000_000:
                 group.append(words_of(texts[at + len(group)]))
                 size += len(texts[at + len(group) - 1] or b"")
             met: set[bytes] = set()
