@@ -12,8 +12,9 @@ it starts; two tokens may follow one another if encoding their joined bytes
 gives just the two. So the encoding of a shared prefix is found once, and a
 word's encoding is read by walking back along the last tokens.
 
-The states of a task are bounded: the table of known words is emptied when it
-reaches ``KNOWN_WORDS`` entries, which changes the cost and never the result.
+The states of a task are bounded: the tables of known words and of known pairs of
+tokens are emptied when they reach ``KNOWN_WORDS`` and ``KNOWN_PAIRS`` entries,
+which changes the cost and never the result.
 
 Defined cases: a null text is an empty text and has no tokens; repeated rows are
 encoded each; an empty table gives an empty result; other columns pass through,
@@ -31,7 +32,7 @@ from .common import add_columns, read_table
 
 #: The word pattern of this family of byte-level vocabularies.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_WORDS = 400_000
+KNOWN_WORDS, KNOWN_PAIRS = 200_000, 300_000
 
 
 def default_vocabulary() -> str:
@@ -104,7 +105,7 @@ class TrieEncoder:
         """
         known = self.follows.get((left, right))
         if known is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > KNOWN_PAIRS:
                 self.follows.clear()
             known = self.follows[left, right] = self._may_follow(left, right)
         return known
@@ -193,7 +194,7 @@ class TextCodec:
         for text in texts:
             group.append((text or b"").decode("utf-8", "replace"))
             size += len(group[-1])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 out += self._encode(group)
                 group, size = [], 0
         return out + self._encode(group)

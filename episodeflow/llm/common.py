@@ -88,6 +88,20 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+SLICE_BYTES = 4_000_000
+
+
+def slices(batches):
+    """Arrow batches cut into pieces of about ``SLICE_BYTES``, of one row at least.
+
+    Python's objects take several times the bytes of the rows they are made of.
+    """
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def add_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]], make, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add columns computed by Python over Arrow batches.
 
@@ -114,9 +128,7 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]]
 
     def run(batches):
         apply = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             columns = []
             for name in inputs:
                 column = batch.column(name)

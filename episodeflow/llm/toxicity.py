@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table
+from .common import add_columns, materialise, read_table, slices
 from .decontaminate import words_of
 
 SAMPLE = 10_000
@@ -99,7 +99,7 @@ def _count_keys(docs: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(held[0]), *[pa.array(held[1][:, k]) for k in range(4)]], names=["key", *LABELS])
 
-        for batch in batches:
+        for batch in slices(batches):
             met: set[bytes] = set()
             counted = [Counter() for _ in LABELS]
             for text, label in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("label").to_pylist(), strict=True):
