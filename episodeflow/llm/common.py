@@ -88,6 +88,17 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def stage_input(docs: DataFrame) -> DataFrame:
+    """doc_id and text of a stage's documents; all other columns in one, so that none clashes with an operator's."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("_others")] if others else []))
+
+
+def stage_output(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` of rows made from ``stage_input(docs)``."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in docs.columns])
+
+
 SLICE_BYTES = 4_000_000
 
 

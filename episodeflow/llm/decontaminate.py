@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table, with_row_id
+from .common import add_columns, materialise, read_table, stage_input, stage_output, with_row_id
 
 BLOCK_BYTES = 8_000_000
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
@@ -252,7 +252,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_run: int = 8, max_co
     ``max_coverage`` of the words is hit goes altogether. Rows without hits keep
     their text as it is.
     """
-    matched = match_items(docs, benchmark, text=text, window=window).where(F.expr(f"n_words = 0 or n_hit <= {float(max_coverage)}D * n_words"))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), text)
+    matched = match_items(held, benchmark, text=text, window=window).where(F.expr(f"n_words = 0 or n_hit <= {float(max_coverage)}D * n_words"))
 
     def make():
         import re
@@ -273,7 +274,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_run: int = 8, max_co
         return lambda texts, spans: [[cut(t, s) for t, s in zip(texts, spans, strict=True)]]
 
     cleaned = add_columns(matched, [text, "spans"], [("_cleaned", "string")], make, drop=(text,))
-    return cleaned.select([F.col("_cleaned").alias(text) if c == text else c for c in docs.columns])
+    return cleaned.select([F.col("_cleaned").alias(text) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -285,8 +286,8 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows with a window of any item go, others stay as they are."""
-    found = match_items(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(docs.columns)
+    found = match_items(stage_input(docs), read_table(spark, sf_dir, "benchmark"))
+    return stage_output(found.where(F.size("items") == 0), docs)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, small_side, with_row_id
+from .common import materialise, read_table, small_side, stage_input, stage_output, with_row_id
 from .trigrams import query
 
 SEGMENT_BITS = 12
@@ -80,7 +80,7 @@ def _answer(clauses) -> Column:
 
 
 def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
-    """(_row, rules): which rules' trigram queries a row satisfies; None where no rule has one."""
+    """(_row, _rules): which rules' trigram queries a row satisfies; None where no rule has one."""
     queries = {r.kind: query(r.pattern) for r in rules}
     queries = {k: q for k, q in queries.items() if q}
     if not queries:
@@ -88,7 +88,7 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     index = _posting_index(rows, sorted({t for q in queries.values() for clause in q for a in clause for t in a}))
     named = lambda q, k: F.transform(_answer(q), lambda r: F.struct(r.alias("_row"), F.lit(k).alias("kind")))
     found = F.concat(*[named(q, k) for k, q in queries.items()])
-    return index.select(F.explode(found).alias("c")).select("c.*").groupBy("_row").agg(F.collect_set("kind").alias("rules"))
+    return index.select(F.explode(found).alias("c")).select("c.*").groupBy("_row").agg(F.collect_set("kind").alias("_rules"))
 
 
 def _has_kind(kind: str) -> Column:
@@ -140,11 +140,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "t
     if found is not None:
         rows = rows.join(small_side(materialise(found, "candidates")), "_row", "left")
     else:
-        rows = rows.withColumn("rules", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("_rules", F.lit(None).cast("array<string>"))
     rows = rows.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     none = F.array().cast("array<string>")
     for r in rules:
-        able = F.coalesce(F.array_contains("rules", r.kind), F.lit(False)) if query(r.pattern) else F.lit(True)
+        able = F.coalesce(F.array_contains("_rules", r.kind), F.lit(False)) if query(r.pattern) else F.lit(True)
         rows = rows.withColumn(f"_m_{r.kind}", F.when(able, F.regexp_extract_all("_text", F.lit(r.pattern), F.lit(0))).otherwise(none))
     for r in rules:
         some = F.size(f"_m_{r.kind}") > 0
@@ -179,10 +179,13 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets in texts are replaced by ``[REDACTED]``; n_chars follows where it is there."""
-    clean = scan(docs, redact="[REDACTED]")
+    clean = scan(stage_input(docs), redact="[REDACTED]")
+    out = stage_output(clean, docs)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        n = F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("_others")["n_chars"])
+        out = clean.select(*[n.alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in docs.columns])
+    return out
 
 
 def _sql_spans(rule: Rule, rank: int) -> str:

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table, slices
+from .common import add_columns, materialise, read_table, slices, stage_input, stage_output
 from .decontaminate import words_of
 
 SAMPLE = 10_000
@@ -325,6 +325,5 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go."""
-    scored = score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, read_table(spark, sf_dir, "labels"))
-    kept = scored.where("score < 0.5").drop("score")
-    return (kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept).select(docs.columns)
+    scored = score(stage_input(docs), read_table(spark, sf_dir, "labels"))
+    return stage_output(scored.where("score < 0.5"), docs)

@@ -88,11 +88,11 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     means = scores.agg(*[F.avg(F.when(F.col("_verdict") == v, F.col("s"))).alias(v) for v in ("allow", "block")])
     limit = means.first()  # two numbers
     level = None if limit["allow"] is None or limit["block"] is None else (limit["allow"] + limit["block"]) / 2
-    own = scores.where("_verdict is null").select("_row", "s")
-    by_score = F.lit("allow") if level is None else F.when(F.round(F.col("s") - F.lit(level), 9) >= 0, "allow").otherwise("block")
+    own = scores.where("_verdict is null").select("_row", F.col("s").alias("_s"))
+    by_score = F.lit("allow") if level is None else F.when(F.round(F.col("_s") - F.lit(level), 9) >= 0, "allow").otherwise("block")
     out = rows.join(own, "_row", "left")
     keep = [c for c in pages.columns if c not in made]
-    return out.select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.col("s").alias("score"), F.coalesce("_verdict", by_score).alias("verdict"))
+    return out.select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.col("_s").alias("score"), F.coalesce("_verdict", by_score).alias("verdict"))
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:

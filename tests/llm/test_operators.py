@@ -378,8 +378,8 @@ def test_index_family_levels(spark):
 
 def test_url_rules_and_edges(spark):
     urls = [None, "", "HTTP://A.NET", "https://a.net/", "x://B.example.NET/en/é?://", "http://example.net/de/", "no scheme", "a://org/fr/", "a://xorg/fr/", "a://x.org/en/", "a://www.example.com/de/x#y", "a" * 100_000]
-    rows = [(i, u, "h") for i, u in enumerate(urls)]
-    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string, host string")).collect()}
+    rows = [(i, u, "h", "s") for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string, host string, s string")).collect()}
     assert [got[i].rule for i in range(len(urls))] == [None, None, None, "net/", "example.net/en/", "net/", None, "org/fr/", None, None, "example.com/de/", None]
     assert (got[4].host, got[4].path, got[2].host, got[2].path) == ("b.example.net", "/en/é", "a.net", "")
     assert all(got[i].verdict in ("allow", "block") for i in got) and got[5].verdict == "block" and got[7].verdict == "allow"
@@ -438,6 +438,21 @@ def test_sql_oracles(spark):
         assert collections.Counter(tuple(r[c] for c in columns) for r in rows.collect()) == collections.Counter(tuple(r[i] for i in place) for r in want.fetchall()), name
 
 
+def test_pipeline_stages_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    names = ["spans", "items", "score", "rules", "n_words", "fp", "row", "label", "toxic", "fold", "low", "group", "n_tokens_"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([None, "", "password: abcdefghijklmnop", "some words here", "some words here"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (docs, docs.limit(0)):
+            got = stage(spark, df, "/root/testdata/sf0.001")
+            assert got.columns == docs.columns
+            assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names), name
+    for df, n in ((docs, 5), (docs.limit(0), 0)):
+        assert corpus_pipeline.STAGES[-1][1](spark, df, "/root/testdata/sf0.001").count() == n
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from episodeflow.llm.common import materialise, read_table
