@@ -24,7 +24,8 @@ bits agreed a group has 65,536 distinct fingerprints at most.
 
 For near copies that differ in more bits than that, ``similar_groups`` deals
 fingerprints out by random choices of bits, joins the tries with a wider budget
-and holds each link found against the shingles of its texts.
+and holds each link found against the shingles of its texts. What this leaves
+apart meets once more by the rarest of its shingles, so that no link is lost.
 
 Defined cases: a text without words, null included, has fingerprint zero and is
 linked like any other; a text with fewer words than a shingle is one shingle; a
@@ -39,7 +40,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table, small_side, with_row_id
+from .common import add_columns, materialise, read_table, slices, small_side, with_row_id
 from .components import connected_components
 
 FRONTIER = 400_000
@@ -47,41 +48,45 @@ GROUP = 20_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint_of(shingle_words: int, second: bool = False):
-    """A function from a text's bytes to its fingerprint as a signed 64-bit integer.
-
-    With ``second``, to a pair: a further fingerprint is taken of the same hashes mixed.
-    """
+def shingle_hashes(text: bytes | None, shingle_words: int):
+    """The hashes of a text's shingles in their order."""
     import numpy as np
     import xxhash
 
     digest, k = xxhash.xxh64_intdigest, shingle_words
+    words = (text or b"").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= k:
+        return np.array([digest(b" ".join(words), 42)], np.uint64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = (ends + 1 - sizes)[: len(words) - k + 1].tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(packed) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit integer."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(packed), 65_536):  # 64 bytes for each hash at most at a time
+        counts += np.unpackbits(packed[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(packed), bitorder="little").view("<i8")[0])
+
+
+def second_fingerprint(packed) -> int:
+    """A further fingerprint, of the same hashes mixed."""
+    import numpy as np
+
+    mixed = (packed ^ packed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return majority(mixed ^ mixed >> np.uint64(29))
 
-    def majority(packed) -> int:
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(packed), 65_536):  # 64 bytes for each hash at most at a time
-            counts += np.unpackbits(packed[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return int(np.packbits(counts * 2 > len(packed), bitorder="little").view("<i8")[0])
-
-    def of(text: bytes | None):
-        words = (text or b"").translate(LOWER).split()
-        if not words:
-            return (0, 0) if second else 0
-        if len(words) <= k:
-            hashes = [digest(b" ".join(words), 42)]
-        else:
-            joined = b" ".join(words)
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            ends = np.cumsum(sizes) - 1
-            starts = (ends + 1 - sizes)[: len(words) - k + 1].tolist()
-            hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
-        packed = np.array(hashes, np.uint64)
-        if not second:
-            return majority(packed)
-        mixed = (packed ^ packed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-        return majority(packed), majority(mixed ^ mixed >> np.uint64(29))
-
-    return of
+
+def fingerprint_of(shingle_words: int):
+    """A function from a text's bytes to its fingerprint as a signed 64-bit integer."""
+    return lambda text: majority(shingle_hashes(text, shingle_words))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle_words: int = 3, name: str = "fp", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -218,6 +223,27 @@ def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
     return _meet(dealt, budget, 16, _star).select("a", "b")
 
 
+def whole_groups(batches, columns: list[str]):
+    """Of batches sorted by the first column: its groups, whole, in arrays of some 100,000 rows."""
+    import numpy as np
+
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        rows += batch.num_rows
+        if rows < 100_000:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        end = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
+        if end:
+            yield [x[:end] for x in whole]
+        held, rows = [[x[end:] for x in whole]], len(whole[0]) - end
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _meet(dealt: DataFrame, budget: int, leaf: int, links) -> DataFrame:
     """Links (a, b) within groups of the rows (g, fp), as ``links`` thins them out.
 
@@ -264,22 +290,8 @@ def _meet(dealt: DataFrame, budget: int, leaf: int, links) -> DataFrame:
             got = found(*rows)
             return [pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], names=["a", "b"])] if got else []
 
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            g, *k = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
-            held.append((g, *[x.view(np.uint64) for x in k]))
-            rows += len(g)
-            if rows < 100_000:
-                continue
-            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
-            if end:
-                yield from batch_of(*[x[:end] for x in whole])
-            held, rows = [tuple(x[end:] for x in whole)], len(whole[0]) - end
-        if rows:
-            yield from batch_of(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        for group in whole_groups(batches, columns):
+            yield from batch_of(*[group[0], *[x.view(np.uint64) for x in group[1:]]])
 
     partitions = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(partitions, "g").sortWithinPartitions("g").select(*columns).mapInArrow(join, "a bigint, b bigint")
@@ -329,52 +341,82 @@ def sampled_links(fps: DataFrame, budget: int = 16, tables: int = 80, bits: int
     return _meet(dealt, budget, 64, _nearest_forest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-SKETCH = 512
+#: Texts whose shingles are counted to tell common ones, and how many of these are held.
+ORDER_SAMPLE, ORDER_SHINGLES = 5_000, 1_000_000
 
 
-def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(fp, n, sketch): the number of a text's different shingles and the least ``SKETCH`` of their hashes."""
+def _common_shingles(docs: DataFrame, shingle_words: int):
+    """Hashes (ascending) and counts of shingles that several of some texts hold.
+
+    They only order shingles: with other texts, as many links are found, by more work.
+    """
+    import numpy as np
+
+    step = max(1, docs.count() // ORDER_SAMPLE)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            for t in batch.column("text").cast(pa.large_binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle_words)).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text").mapInArrow(run, "h bigint")
+    top = some.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
+    hashes, counts = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order].astype(np.int32)
+
+
+def _profiles(docs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """(row, fp, fp2, n, shingles, prefix) of texts (row, text).
+
+    n is the number of a text's different shingles and ``shingles`` a digest of
+    their set. The prefix holds so many of them, rare ones first, that no text can
+    be similar that has none of these in its own prefix.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle_words))
 
     def make():
+        import math
+
         import numpy as np
         import xxhash
 
+        common, counts = shared.value
+
         def apply(texts):
-            ns, sketches = [], []
+            out = [[], [], [], [], []]
             for t in texts:
-                words = (t or b"").translate(LOWER).split()
-                hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words]), 7) for i in range(max(1, len(words) - shingle_words + 1))} if words else set()
-                ns.append(len(hashes))
-                sketches.append(np.sort(np.fromiter(hashes, np.uint64, len(hashes)))[:SKETCH].view(np.uint8).tobytes())
-            return [ns, sketches]
+                packed = shingle_hashes(t, shingle_words)
+                own = np.unique(packed)
+                size = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1 if len(own) else 0
+                count = np.zeros(len(own), np.int32)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    count = np.where(common[at] == own, counts[at], 0)
+                prefix = own[np.argsort(count, kind="stable")[:size]]
+                for column, x in zip(out, (majority(packed), second_fingerprint(packed), len(own), xxhash.xxh3_128_digest(own.tobytes()), prefix.tobytes()), strict=True):
+                    column.append(x)
+            return out
 
         return apply
 
-    return add_columns(docs, ["text"], [("n", "bigint"), ("sketch", "binary")], make, drop=("text",))
+    return add_columns(docs, ["text"], [("fp", "bigint"), ("fp2", "bigint"), ("n", "bigint"), ("shingles", "binary"), ("prefix", "binary")], make, drop=("text",))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
-    """(row, group) of texts (row, text): rows of one group are near copies.
+def _held(links: DataFrame, docs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """Those of the written links (a, b) of rows whose whole sets of shingles are as similar."""
 
-    Equal fingerprints are one group. Others are linked by ``sampled_links`` (and
-    ``near_links``), each link held against the texts: the Jaccard similarity of
-    their shingles, estimated from the least ``SKETCH`` hashes of both (exact for
-    texts of no more shingles), must reach ``similarity``. The group's name is
-    its smallest row number.
-    """
+    def sets():
+        import numpy as np
 
-    def both():
-        of = fingerprint_of(shingle_words, second=True)
-        return lambda texts: list(zip(*map(of, texts), strict=True))
+        return lambda texts: [[np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in texts]]
 
-    fps = materialise(add_columns(docs.select("row", "text"), ["text"], [("fp", "bigint"), ("fp2", "bigint")], both, drop=("text",)), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min(F.struct("row", "fp2")).alias("x")).select("fp", "x.row", "x.fp2"), "nodes")
-    near = near_links(nodes.select("fp"), 2)
-    links = materialise(sampled_links(nodes).unionByName(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "links")
-    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = materialise(nodes.join(ends, "fp", "left_semi").select("row", "fp"), "ends")
-    sketches = materialise(_sketches(docs.select("row", "text").join(small_side(wanted), "row").select("fp", "text"), shingle_words), "sketches")
-    one = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    ends = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).distinct()
+    ends = materialise(ends, "ends")
+    whole = materialise(add_columns(docs.join(small_side(ends), "row").select("row", "text"), ["text"], [("s", "binary")], sets, drop=("text",)), "sets")
+    one = lambda c: whole.select(F.col("row").alias(c), F.col("s").alias(f"s_{c}"))
 
     def make():
         import numpy as np
@@ -383,20 +425,110 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int
             out = []
             for x, y in zip(xs, ys, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.union1d(x, y)[: max(len(x), len(y), 1)] if max(len(x), len(y)) >= SKETCH else np.union1d(x, y)
-                common = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
-                out.append(float(common.sum() / len(both)) if len(both) else 1.0)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0)
             return [out]
 
         return apply
 
     paired = links.join(one("a"), "a").join(one("b"), "b")
-    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity)  # else they can't be as similar
-    held = add_columns(paired.where(close), ["s_a", "s_b"], [("similarity", "double")], make, drop=("s_a", "s_b"))
-    roots = connected_components(held.where(F.col("similarity") >= similarity).select("a", "b")).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("row").alias("group"))
-    return fps.join(rooted.join(least, "root").select("fp", "group"), "fp").select("row", "group")
+    close = F.least(F.length("s_a"), F.length("s_b")) >= F.greatest(F.length("s_a"), F.length("s_b")) * F.lit(similarity - 1e-6)  # else they can't be as similar
+    judged = add_columns(paired.where(close), ["s_a", "s_b"], [("similarity", "double")], make, drop=("s_a", "s_b"))
+    return judged.where(F.col("similarity") >= similarity).select("a", "b")
+
+
+def _other_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes (row, root, n, prefix) of different roots that may be similar.
+
+    Two similar texts share a shingle of both prefixes, so the nodes that hold one
+    meet. A pair is left out where, were that shingle their first in common, too
+    few shingles are left behind it; at their first one in common it never is.
+    """
+    columns = ["g", "row", "root", "n", "at"]
+
+    def deal(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
+                prefixes = part.column("prefix").to_pylist()
+                sizes = np.array([len(x) // 8 for x in prefixes])
+                row, root, n = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("row", "root", "n"))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(row), pa.array(root), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=columns)
+
+    def join(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        share = similarity / (1 + similarity)
+
+        def places(starts, ends):
+            """Pairs of places within groups, in pieces of bounded size."""
+            sizes = ends - starts
+            for n in np.unique(sizes[(sizes > 1) & (sizes <= 500)]).tolist():
+                some, (i, j) = starts[sizes == n], np.triu_indices(n, 1)
+                step = max(1, 2_000_000 // len(i))
+                for at in range(0, len(some), step):
+                    base = some[at : at + step, None]
+                    yield (base + i).ravel(), (base + j).ravel()
+            for s, e in zip(starts[sizes > 500].tolist(), ends[sizes > 500].tolist(), strict=True):
+                step = max(1, 2_000_000 // (e - s))
+                for at in range(s, e, step):
+                    i, j = np.meshgrid(np.arange(at, min(at + step, e)), np.arange(at + 1, e), indexing="ij")
+                    later = j > i
+                    yield i[later], j[later]
+
+        def found(g, row, root, n, at):
+            cut = np.flatnonzero(np.diff(g)) + 1
+            starts, ends = np.r_[0, cut], np.r_[cut, len(g)]
+            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            for i, j in places(starts[mixed], ends[mixed]):
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                left = np.minimum(n[i] - at[i], n[j] - at[j])
+                may = (left >= share * (n[i] + n[j]) - 1e-6) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                a, b = np.maximum(row[i[may]], row[j[may]]), np.minimum(row[i[may]], row[j[may]])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for group in whole_groups(batches, columns):
+            yield from found(*group)
+
+    dealt = nodes.select("row", "root", "n", "prefix").mapInArrow(deal, "g bigint, row bigint, root bigint, n int, at int")
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """(row, group) of texts (row, text): rows of one group are near copies.
+
+    Links join texts of a Jaccard similarity of ``similarity`` or more, of their
+    whole sets of shingles; the groups are the components of all such links. Equal
+    sets are one node. The likely links come first: those of ``sampled_links`` and
+    ``near_links`` and between nodes of one fingerprint. All pairs that these leave
+    in different groups are then met by ``_other_links``, which loses none. Each
+    link is held against the sets. The group's name is its smallest row number.
+    """
+    docs = docs.select("row", "text")
+    profiles = materialise(_profiles(docs, similarity, shingle_words), "profiles")
+    nodes = materialise(profiles.groupBy("shingles").agg(F.min(F.struct("row", "fp", "fp2")).alias("x")).select("shingles", "x.*"), "nodes")
+    firsts = materialise(nodes.groupBy("fp").agg(F.min(F.struct("row", "fp2")).alias("x")).select("fp", "x.*"), "firsts")
+    of = lambda c: firsts.select(F.col("fp").alias(f"fp_{c}"), F.col("row").alias(c))
+    near = sampled_links(firsts).unionByName(near_links(firsts.select("fp"), 2)).toDF("fp_a", "fp_b")
+    near = near.join(of("a"), "fp_a").join(of("b"), "fp_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    equal = nodes.select("fp", F.col("row").alias("a")).join(firsts.select("fp", F.col("row").alias("b")), "fp").where("a <> b").select("a", "b")
+    links = materialise(near.unionByName(equal).distinct(), "links")
+    roots = connected_components(_held(links, docs, similarity, shingle_words)).withColumnRenamed("node", "row")
+    rooted = materialise(nodes.select("row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+    others = materialise(_other_links(profiles.join(small_side(rooted), "row"), similarity), "others")
+    more = _held(others, docs, similarity, shingle_words)
+    joined = rooted.select(F.col("row").alias("a"), F.col("root").alias("b")).unionByName(more)
+    roots = connected_components(joined).withColumnRenamed("node", "row")
+    groups = nodes.select("shingles", "row").join(roots, "row", "left").select("shingles", F.coalesce("root", "row").alias("group"))
+    return profiles.select("row", "shingles").join(groups, "shingles").select("row", "group")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

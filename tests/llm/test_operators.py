@@ -280,6 +280,60 @@ def test_near_copies_of_a_few_changed_words(spark):
     assert all(len(v) == 1 for v in met.values()) and len(met) <= 155
 
 
+def word_maker(rng):
+    return lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(4, 9)))
+
+
+def changed(rng, words, n, word):
+    """The words with ``n`` replaced, five apart at least: each takes five shingles away."""
+    words = list(words)
+    for at in rng.sample(range(0, (len(words) - 4) // 5), n):
+        words[at * 5 + 4] = word()
+    return words
+
+
+def brute_groups(texts, similarity=0.8, k=5):
+    """The smallest number of each text's group, by the similarity of all pairs that share a shingle."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    holders, common = collections.defaultdict(list), collections.Counter()
+    for i, s in enumerate(sets):
+        for x in s:
+            common.update((j, i) for j in holders[x])
+            holders[x].append(i)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), n in common.items():
+        if n / (len(sets[i]) + len(sets[j]) - n) >= similarity:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def check_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    got = {r.row: r.group for r in simhash.similar_groups(df).collect()}
+    want = brute_groups(texts)
+    wrong = [i for i in range(len(texts)) if got[i] != want[i]]
+    assert not wrong, f"{len(wrong)} of {len(texts)} texts in another group; {len(set(got.values()))} groups for {len(set(want))}"
+
+
+def test_similar_groups_in_a_family_of_templated_texts(spark):
+    rng = random.Random(1)
+    word = word_maker(rng)
+    seed = [word() for _ in range(154)]
+    family = [changed(rng, seed, 3, word) for _ in range(300)]
+    copies = [changed(rng, t, rng.randint(1, 3), word) for t in family]
+    check_groups(spark, [" ".join(t) for t in family + copies])
+
+
 def test_near_duplicate_stage_edges(spark, odd, empty):
     kept = simhash.keep_one_of_each_group(spark, odd, "")
     assert kept.columns == odd.columns and kept.count() == 4 and simhash.keep_one_of_each_group(spark, empty, "").count() == 0
