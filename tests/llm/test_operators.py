@@ -334,6 +334,17 @@ def test_similar_groups_in_a_family_of_templated_texts(spark):
     check_groups(spark, [" ".join(t) for t in family + copies])
 
 
+def test_similar_groups_of_lone_pairs_at_the_threshold(spark):
+    rng = random.Random(2)
+    word = word_maker(rng)
+    texts = []
+    for i in range(400):
+        n = rng.choice([100, 200, 400])
+        text = [word() for _ in range(n + 4)]
+        texts += [text, changed(rng, text, n // 45 - i % 2, word)]
+    check_groups(spark, [" ".join(t) for t in texts])
+
+
 def test_near_duplicate_stage_edges(spark, odd, empty):
     kept = simhash.keep_one_of_each_group(spark, odd, "")
     assert kept.columns == odd.columns and kept.count() == 4 and simhash.keep_one_of_each_group(spark, empty, "").count() == 0
