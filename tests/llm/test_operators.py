@@ -345,6 +345,16 @@ def test_similar_groups_of_lone_pairs_at_the_threshold(spark):
     check_groups(spark, [" ".join(t) for t in texts])
 
 
+def test_similar_groups_of_long_texts_near_the_threshold(spark):
+    rng = random.Random(3)
+    word = word_maker(rng)
+    texts = []
+    for i in range(60):
+        text = [word() for _ in range(1504)]
+        texts += [text, changed(rng, text, 33 + i % 2, word)]
+    check_groups(spark, [" ".join(t) for t in texts])
+
+
 def test_near_duplicate_stage_edges(spark, odd, empty):
     kept = simhash.keep_one_of_each_group(spark, odd, "")
     assert kept.columns == odd.columns and kept.count() == 4 and simhash.keep_one_of_each_group(spark, empty, "").count() == 0
