@@ -355,6 +355,14 @@ def test_similar_groups_of_long_texts_near_the_threshold(spark):
     check_groups(spark, [" ".join(t) for t in texts])
 
 
+def test_similar_groups_of_texts_with_one_fingerprint(spark):
+    rng = random.Random(4)
+    word = word_maker(rng)
+    texts = [[word() for _ in range(60)] + ["."] * 400 for _ in range(40)]
+    texts += [changed(rng, t[:60], 1, word) + t[60:] for t in texts[:20]] + [t[:60] + ["."] * 300 for t in texts[20:30]]
+    check_groups(spark, [" ".join(t) for t in texts])
+
+
 def test_near_duplicate_stage_edges(spark, odd, empty):
     kept = simhash.keep_one_of_each_group(spark, odd, "")
     assert kept.columns == odd.columns and kept.count() == 4 and simhash.keep_one_of_each_group(spark, empty, "").count() == 0
