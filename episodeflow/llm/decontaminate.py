@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table, stage_input, stage_output, with_row_id
+from .common import add_columns, materialise, read_table, with_row_id
 
 BLOCK_BYTES = 8_000_000
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
@@ -244,15 +244,18 @@ _MERGE = """aggregate(s, cast(array() as array<struct<start:int,end:int>>), (a,
        concat(a, array(x))))"""
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, max_run: int = 8, max_coverage: float = 0.5, window: int = 8, text: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, max_run: int = 8, max_coverage: float = 0.5, window: int = 8, text: str = "text", min_item: int = 4) -> DataFrame:
     """Cut benchmark passages out of texts; drop texts that are mostly benchmark.
 
     Hit spans of at least ``max_run`` words are cut, from their first word's
-    first character to their last word's last one. A row of which more than
+    first character to their last word's last one. Spans shorter than a window
+    are of items shorter than a window; these are cut from ``min_item`` words on,
+    as fewer are too common to tell a leak. A row of which more than
     ``max_coverage`` of the words is hit goes altogether. Rows without hits keep
     their text as it is.
     """
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), text)
+    others = [c for c in docs.columns if c != text]
+    held = docs.select(*([F.struct(*others).alias("_doc")] if others else []), text)
     matched = match_items(held, benchmark, text=text, window=window).where(F.expr(f"n_words = 0 or n_hit <= {float(max_coverage)}D * n_words"))
 
     def make():
@@ -261,7 +264,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_run: int = 8, max_co
         word = re.compile(rb"[^ ]+")
 
         def cut(t, spans):
-            spans = [s for s in spans if s["end"] - s["start"] >= max_run]
+            spans = [s for s in spans if (size := s["end"] - s["start"]) >= max_run or min_item <= size < window]
             if t is None or not spans:
                 return None if t is None else t.decode()
             at = [m.span() for m in word.finditer(t.translate(FOLD))]
@@ -285,9 +288,8 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows with a window of any item go, others stay as they are."""
-    found = match_items(stage_input(docs), read_table(spark, sf_dir, "benchmark"))
-    return stage_output(found.where(F.size("items") == 0), docs)
+    """Pipeline stage: passages of items are cut out, and rows that are mostly passages go."""
+    return remove_spans(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -410,6 +410,16 @@ def test_remove_spans(spark, odd, empty):
     assert decontaminate.match_items(odd, bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
 
 
+def test_decontamination_stage_cuts_passages(spark, tmp_path):
+    item = "one two three four five six seven eight nine"
+    items = [(1, item), (2, "the"), (3, "red green blue grey"), (4, "a b")]
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rest = "and more of the text that no item holds and so on and on"
+    docs = [(1, f"Start {item}, {rest}"), (2, f"{item} end"), (3, rest), (4, f"Red, green, blue, grey! {rest}"), (5, f"a b {rest}"), (6, None), (7, "the")]
+    got = {r.doc_id: r.text for r in decontaminate.drop_contaminated(spark, spark.createDataFrame(docs, "doc_id int, text string"), str(tmp_path)).collect()}
+    assert got == {1: f"Start , {rest}", 3: rest, 4: f"! {rest}", 5: f"a b {rest}", 6: None}
+
+
 # --- suffix dedup -------------------------------------------------------------------------
 
 
