@@ -10,11 +10,12 @@ and no match is lost. Neighbouring strings mostly share their anchor: an anchor
 stands for the run of string starts whose strings have it.
 
 The index is a family of levels. A batch of documents becomes a level of its own:
-its sampled suffixes, ordered by the fingerprint at their anchor. Two levels of
-one size are merged into one of twice the size by a scan of both in that order,
-as often as there are two, so a suffix is rewritten a logarithmic number of
-times. The scan finds the anchors that have a partner. Order by fingerprint
-serves as order by bytes would: what is asked is which suffixes begin alike.
+the fingerprints at its anchors, each with its count. Two levels of one size are
+merged into one of twice the size by union and sum, as often as there are two, so
+a fingerprint is rewritten a logarithmic number of times. Counts over one tell the
+anchors that have a partner. These are hash aggregates: no suffix array is built,
+nothing is ordered and no merge scan runs, as what is asked is which suffixes
+begin alike, not which is smaller.
 
 What a partner shares is then settled by ever smaller groups of string starts.
 For a group, the bytes common to all its strings (core) and the bytes of all of
