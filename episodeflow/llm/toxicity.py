@@ -2,27 +2,30 @@
 
 Method
 ------
-A word is scored by two models of its characters, one of toxic and one of
-ordinary text. The probability of a character after its ``ORDER - 1``
+A word is scored by two Kneser-Ney models of its characters, one of toxic and one
+of ordinary text. The probability of a character after its ``ORDER - 1``
 predecessors in the word has its counts from the class's own labelled rows; the
-mass that absolute discounting takes from them is spread by one shared
-Kneser-Ney model of the lower orders, whose continuation counts (of how many
-different characters precede) come from the words of all documents. So a rare
-expression that no labelled row holds is judged by the part of it that one does.
-Where one class has never met a context, both classes back off, and the
-character says nothing.
-
-A document's features are the difference of the classes' log-likelihoods for
-each character, the mean of that of its ``TOP`` most toxic words, and the
-logarithm of its number of words. A logistic function turns them into a score.
-It is calibrated on a fourth of the labelled rows by models that hold no counts
-of these; the models that then score have the counts of all.
+mass that absolute discounting takes from them is spread by one shared model of
+the lower orders, whose continuation counts (of how many different characters
+precede) come from the words of all documents. Each class backs off by itself:
+one that has never met a context takes the shared probability, so what only
+toxic text says is evidence, and a rare expression that no labelled row holds is
+judged by the part of it that one does.
+
+A document's features are the classes' log-likelihood ratio for each character
+of the whole text, the mean ratio of its ``TOP`` most toxic words, and the
+logarithm of its number of words: few words make a long text toxic, which the
+whole text's ratio alone hardly shows. A logistic function turns them into a
+score. It is calibrated on a fourth of the labelled rows by models that hold no
+counts of these; the models that then score have the counts of all.
 
 Labels are learnt from a bounded sample of labelled rows: ``SAMPLE`` of each
 class, those of the smallest hash of their id, weighted back to their class's
-share. The models are tables of fixed size (``SLOTS`` entries, addressed by the
-remainder of a character sequence), so what is broadcast is bounded whatever the
-data; counting is a distributed aggregate over all documents.
+share. Counting is a distributed aggregate over all documents with exact keys, of
+whole code points. The two classes differ in sequences and contexts of labelled
+rows only; everywhere else both have the same probability, so the ratios of
+these, computed from the counts of the whole corpus, are all that scoring needs.
+That table grows with the labelled sample and never with the corpus.
 
 Defined cases: null and empty texts have no words and all features zero; of
 repeated labels of one id the larger counts, null ids and labels don't; labels
@@ -40,31 +43,29 @@ from .common import add_columns, materialise, read_table, slices, stage_input, s
 from .decontaminate import words_of
 
 SAMPLE = 10_000
-ORDER, BITS, DISCOUNT, TOP = 5, 12, 0.75, 3
-#: Table sizes are primes, so that remainders mix all characters of a sequence.
-SLOTS = 1_048_573
+#: A code point has 21 bits.
+ORDER, BITS, DISCOUNT, TOP = 5, 21, 0.75, 3
 KNOWN_WORDS = 200_000
 LABELS = ("n0", "n1", "m0", "m1")
 HELD_OUT, CALIBRATION = 0, 4  # of the remainder of crc32(id) by 5
 
 
-def _low(order: int) -> int:
-    return (1 << BITS * order) - 1
-
-
 def word_keys(words: list[bytes]):
-    """The packed character sequences of the words' characters, and their number in each word."""
+    """The packed character sequences of the words' characters, and their number in each word.
+
+    A sequence of five code points is exact in two integers: the first three in
+    one (``high``), the last two in the other (``low``).
+    """
     import numpy as np
 
-    text = "".join(["^" * (ORDER - 1) + w.decode("utf-8", "replace").lower() + "$" for w in words])
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64) & ((1 << BITS) - 1)
-    sizes = np.array([len(w.decode("utf-8", "replace").lower()) + 1 for w in words], np.int64)
+    lowered = [w.decode("utf-8", "replace").lower() for w in words]
+    text = "".join(["^" * (ORDER - 1) + w + "$" for w in lowered])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
     ends = np.cumsum(sizes + ORDER - 1)
     at = np.repeat(ends - sizes - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-    key = np.zeros(len(at), np.int64)
-    for back in range(ORDER - 1, -1, -1):
-        key = key << BITS | codes[at - back]
-    return key, sizes
+    high = codes[at - 4] << 2 * BITS | codes[at - 3] << BITS | codes[at - 2]
+    return high, codes[at - 1] << BITS | codes[at], sizes
 
 
 def label_sample(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
@@ -77,27 +78,34 @@ def label_sample(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, di
     return parts[0].unionByName(parts[1]), counts
 
 
+def _distinct(high, low, counts):
+    """The distinct keys, ascending, with their counts summed."""
+    import numpy as np
+
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])]) if len(high) else np.zeros(0, np.int64)
+    return high[first], low[first], np.add.reduceat(counts[order], first, axis=0) if len(first) else counts[:0]
+
+
 def _count_keys(docs: DataFrame) -> DataFrame:
-    """(key, n0, n1, m0, m1): the sequences of all documents, with their counts in labelled rows.
+    """(high, low, n0, n1, m0, m1): the sequences of all documents, with their counts in labelled rows.
 
     The column label is 0 or 1, in rows for calibration 2 or 3.
     """
 
     def run(batches):
+        from collections import Counter
+
         import numpy as np
         import pyarrow as pa
-        from collections import Counter
 
         seen: set[bytes] = set()
-        held = [np.zeros(0, np.int64), np.zeros((0, 4), np.int64)]
-
-        def add(keys, counts):
-            keys, at = np.unique(np.r_[held[0], keys], return_inverse=True)
-            both = np.vstack([held[1], counts])
-            held[:] = keys, np.stack([np.bincount(at, both[:, k], len(keys)) for k in range(4)], axis=1).astype(np.int64)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4), np.int64))
+        held = none
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(held[0]), *[pa.array(held[1][:, k]) for k in range(4)]], names=["key", *LABELS])
+            return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), *[pa.array(np.ascontiguousarray(held[2][:, k])) for k in range(4)]], names=["high", "low", *LABELS])
 
         for batch in slices(batches):
             met: set[bytes] = set()
@@ -110,92 +118,123 @@ def _count_keys(docs: DataFrame) -> DataFrame:
             words = list((met - seen).union(*counted))
             for i in range(0, len(words), 20_000):
                 part = words[i : i + 20_000]
-                keys, sizes = word_keys(part)
-                add(keys, np.repeat(np.array([[c[w] for c in counted] for w in part]), sizes, axis=0))
+                high, low, sizes = word_keys(part)
+                counts = np.repeat(np.array([[c[w] for c in counted] for w in part]), sizes, axis=0)
+                held = _distinct(np.r_[held[0], high], np.r_[held[1], low], np.vstack([held[2], counts]))
             seen = seen | met if len(seen) + len(met) < KNOWN_WORDS else met
             if len(held[0]) > 400_000:
                 yield out()
-                held[:] = np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
+                held = none
         if len(held[0]):
             yield out()
 
-    return docs.mapInArrow(run, "key bigint, " + ", ".join(f"{c} bigint" for c in LABELS)).groupBy("key").agg(*[F.sum(c).alias(c) for c in LABELS])
+    return docs.mapInArrow(run, "high bigint, low bigint, " + ", ".join(f"{c} bigint" for c in LABELS)).groupBy("high", "low").agg(*[F.sum(c).alias(c) for c in LABELS])
 
 
-class Models:
-    """The tables of both classes and of the shared lower orders."""
-
-    def __init__(self, keys: DataFrame, ordinary: str, toxic: str, shared: Models | None = None):
-        """``keys`` has the column key and the counts that make up ``ordinary`` and ``toxic``.
-
-        The lower orders are those of ``shared``, or are counted.
-        """
-
-        def table(rows: DataFrame, key: str, *values: str):
-            import numpy as np
-
-            folded = rows.groupBy(F.pmod(F.expr(key), F.lit(SLOTS)).alias("slot")).agg(*[F.sum(F.expr(v)).alias(f"v{i}") for i, v in enumerate(values)]).toArrow()
-            out = np.zeros((len(values), SLOTS), np.float32)
-            for i in range(len(values)):
-                out[i, folded.column("slot").to_numpy()] = folded.column(f"v{i}").to_numpy()
-            return out
-
-        own = keys.select("key", F.expr(ordinary).alias("n0"), F.expr(toxic).alias("n1")).where("n0 + n1 > 0")
-        self.counts = table(own, "key", "n0", "n1")
-        self.contexts = table(own, f"shiftright(key, {BITS})", "n0", "n1", "int(n0 > 0)", "int(n1 > 0)")
-        if shared:
-            self.shared, self.shared_contexts = shared.shared, shared.shared_contexts
-            return
-        self.shared, self.shared_contexts = {}, {}
-        grams = keys.select("key")
-        for order in range(ORDER - 1, 0, -1):
-            grams = grams.groupBy(F.col("key").bitwiseAND(F.lit(_low(order))).alias("key")).agg(F.count("*").alias("n"))
-            self.shared[order] = table(grams, "key", "n")
-            self.shared_contexts[order] = table(grams, f"shiftright(key, {BITS})", "n", "1")
-
-    def __getstate__(self):
-        """The slots in use alone: most of a small model are empty."""
+def labelled_sequences(keys: DataFrame) -> DataFrame:
+    """The sequences of labelled rows with their shared lower-order probability (below).
+
+    ``keys`` has every distinct sequence of the corpus. The continuation counts of
+    each order, and their sums by context, are aggregates over all of them; only
+    those that a labelled sequence needs are joined to it.
+    """
+    one = (1 << BITS) - 1
+    two = (1 << 2 * BITS) - 1
+    masks = {4: (two, two), 3: (one, two), 2: (0, two), 1: (0, one)}  # of high and low, by order
+    part = lambda order: [F.col(c).bitwiseAND(F.lit(m)).alias(c) for c, m in zip(("high", "low"), masks[order], strict=True)]
+    grams = {ORDER: keys}
+    for order in range(ORDER - 1, 0, -1):
+        grams[order] = materialise(grams[order + 1].select(*part(order)).groupBy("high", "low").agg(F.count("*").alias("n")), f"order{order}")
+    rows = keys.where(" + ".join(LABELS) + " > 0")
+    total = grams[1].agg(F.coalesce(F.sum("n"), F.lit(1)).alias("every"), F.count("*").alias("kinds")).first()
+    below = F.lit(1.0) / F.lit(max(1, total["kinds"]))
+    for order in range(1, ORDER):
+        own = [F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(("high", "low"), masks[order], strict=True)]
+        counts = grams[order].select(F.col("high").alias("gh"), F.col("low").alias("gl"), F.col("n").alias("n_"))
+        rows = rows.join(counts, (own[0] == F.col("gh")) & (own[1] == F.col("gl"))).drop("gh", "gl")
+        if order == 1:
+            every, kinds = F.lit(total["every"]), F.lit(total["kinds"])
+        else:
+            contexts = grams[order].groupBy(F.col("high").alias("ch"), F.shiftright("low", BITS).alias("cl")).agg(F.sum("n").alias("every_"), F.count("*").alias("kinds_"))
+            rows = rows.join(contexts, (own[0] == F.col("ch")) & (F.shiftright(own[1], BITS) == F.col("cl"))).drop("ch", "cl")
+            every, kinds = F.col("every_"), F.col("kinds_")
+        rows = rows.withColumn("below_", (F.greatest(F.col("n_") - DISCOUNT, F.lit(0.0)) + F.lit(DISCOUNT) * kinds * below) / every).drop("n_", "every_", "kinds_", "below")
+        rows = rows.withColumnRenamed("below_", "below")
+        below = F.col("below")
+    return rows
+
+
+class Table:
+    """Values by pairs of integers, exact: found by a hash of the pair and compared whole."""
+
+    def __init__(self, high, low, values):
         import numpy as np
 
-        def used(table):
-            at = np.flatnonzero(table.any(axis=0)).astype(np.int32)
-            return table.shape, at, table[:, at]
+        for salt in range(64):  # a salt under which no two pairs share a hash
+            hashed = self.hashed(high, low, salt)
+            order = np.argsort(hashed)
+            hashed = hashed[order]
+            if not (hashed[1:] == hashed[:-1]).any():
+                break
+        else:
+            raise ValueError("the pairs aren't distinct")
+        self.salt, self.hash, self.high, self.low, self.values = salt, hashed, high[order], low[order], values[order]
+
+    @staticmethod
+    def hashed(high, low, salt: int):
+        import numpy as np
 
-        return {k: {o: used(t) for o, t in v.items()} if isinstance(v, dict) else used(v) for k, v in self.__dict__.items()}
+        h = (high.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) ^ low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(32)
 
-    def __setstate__(self, state):
+    def find(self, high, low):
+        """The values, and which of the pairs are there at all."""
         import numpy as np
 
-        def whole(shape, at, values):
-            table = np.zeros(shape, np.float32)
-            table[:, at] = values
-            return table
+        if not len(self.hash):
+            return np.zeros(len(high)), np.zeros(len(high), bool)
+        at = np.minimum(np.searchsorted(self.hash, self.hashed(high, low, self.salt)), len(self.hash) - 1)
+        return self.values[at], (self.high[at] == high) & (self.low[at] == low)
 
-        self.__dict__ = {k: {o: whole(*t) for o, t in v.items()} if isinstance(v, dict) else whole(*v) for k, v in state.items()}
 
-    def backoff(self, key, order: int):
-        """The shared probability of the last character after the ``order - 1`` before it."""
-        import numpy as np
+class Models:
+    """What both classes' models say of each character that they tell apart.
 
-        if not order:
-            return np.full(len(key), 1.0 / (1 << BITS))
-        low = key & _low(order)
-        n = self.shared[order][0, low % SLOTS].astype(np.float64)
-        every, kinds = self.shared_contexts[order][:, (low >> BITS) % SLOTS].astype(np.float64)
-        below = self.backoff(key, order - 1)
-        p = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * below) / np.maximum(every, 1)
-        return np.where(every > 0, p, below)
+    A sequence that labelled rows hold has its own log ratio. A character that
+    neither class has met after a context differs by the classes' backoff weights
+    alone, so contexts have a log ratio too; where neither has met the context,
+    both have the shared probability and the ratio is zero.
+    """
+
+    def __init__(self, high, low, below, ordinary, toxic):
+        """Arrays: the labelled sequences, their shared probability, and the counts of each class."""
+        import numpy as np
 
-    def ratios(self, key):
+        some = ordinary + toxic > 0
+        high, low, below = high[some], low[some], below[some]
+        counts = np.stack([ordinary[some], toxic[some]]).astype(np.float64)
+        order = np.lexsort((low, high))  # contexts are neighbours
+        high, low, below, counts = high[order], low[order], below[order], counts[:, order]
+        context = low >> BITS
+        first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (context[1:] != context[:-1])]) if len(high) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[first, len(high)])
+        every = np.add.reduceat(counts, first, axis=1) if len(first) else counts
+        kinds = np.add.reduceat((counts > 0).astype(np.float64), first, axis=1) if len(first) else counts
+        weight = np.where(every > 0, DISCOUNT * kinds / np.maximum(every, 1), 1.0)  # of the shared probability
+        own = np.repeat(every, sizes, axis=1)
+        p = np.where(own > 0, np.maximum(counts - DISCOUNT, 0) / np.maximum(own, 1), 0) + np.repeat(weight, sizes, axis=1) * below
+        self.sequences = Table(high, low, np.log(p[1]) - np.log(p[0]))
+        self.contexts = Table(high[first], context[first], np.log(weight[1]) - np.log(weight[0]))
+
+    def ratios(self, high, low):
         """log p(toxic) - log p(ordinary) of the last characters of the sequences."""
         import numpy as np
 
-        n = self.counts[:, key % SLOTS].astype(np.float64)
-        context = self.contexts[:, (key >> BITS) % SLOTS].astype(np.float64)
-        below = self.backoff(key, ORDER - 1)
-        p = [(np.maximum(n[k] - DISCOUNT, 0) + DISCOUNT * context[2 + k] * below) / np.maximum(context[k], 1) for k in (0, 1)]
-        both = (context[0] > 0) & (context[1] > 0) & (p[0] > 0) & (p[1] > 0)
-        return np.where(both, np.log(np.where(both, p[1], 1)) - np.log(np.where(both, p[0], 1)), 0)
+        ratio, known = self.sequences.find(high, low)
+        backed, met = self.contexts.find(high, low >> BITS)
+        return np.where(known, ratio, np.where(met, backed, 0.0))
 
 
 class Scorer:
@@ -220,8 +259,8 @@ class Scorer:
         new = [w for w in words if w not in self.known]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            keys, sizes = word_keys(part)
-            sums = np.add.reduceat(self.models.ratios(keys), np.r_[0, np.cumsum(sizes)[:-1]])
+            high, low, sizes = word_keys(part)
+            sums = np.add.reduceat(self.models.ratios(high, low), np.r_[0, np.cumsum(sizes)[:-1]])
             self.known.update(zip(part, range(len(self.ratio), len(self.ratio) + len(part)), strict=True))
             self.ratio, self.size = np.r_[self.ratio, sums], np.r_[self.size, sizes]
 
@@ -282,8 +321,9 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     tagged = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "doc_id", "left")
     counting = tagged.select("text", (F.col("toxic") + F.when(F.col("fold") == CALIBRATION, 2).otherwise(0)).alias("label"))
     keys = materialise(_count_keys(counting), "sequences")
-    part = Models(keys, "n0", "n1")
-    whole = Models(keys, "n0 + m0", "n1 + m1", part)
+    table = labelled_sequences(keys).toArrow()  # of the sample's texts: bounded by it
+    high, low, below, *counts = (table.column(c).to_numpy() for c in ("high", "low", "below", *LABELS))
+    part, whole = Models(high, low, below, counts[0], counts[1]), Models(high, low, below, counts[0] + counts[2], counts[1] + counts[3])
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(part)
 

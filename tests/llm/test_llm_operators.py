@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -168,6 +169,50 @@ def test_toxicity_held_out(spark):
     assert all(0 <= s <= 1 for s in scored.values()) and scored[5001] < 0.5 < scored[5002]
 
 
+def brute_kneser_ney(corpus, classes, order=5, discount=0.75):
+    """log p(1) - log p(0) of a word, by the textbook's recursion over character tuples."""
+    grams = lambda w: [tuple((["^"] * (order - 1) + list(w) + ["$"])[i : i + order]) for i in range(len(w) + 1)]
+    level = {g for w in corpus for g in grams(w)}
+    counts = {}
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in level)
+        level = set(counts[n])
+    raw = [collections.Counter(g for w in words for g in grams(w)) for words in classes]
+
+    def smoothed(table, g, below):
+        after = {x: n for x, n in table.items() if x[:-1] == g[:-1]}
+        every = sum(after.values())
+        return (max(after.get(g, 0) - discount, 0) + discount * len(after) * below) / every if every else below
+
+    def ratio(word):
+        total = 0.0
+        for g in grams(word):
+            p = 1 / len(counts[1])
+            for n in range(1, order):
+                p = smoothed(counts[n], g[-n:], p)
+            total += math.log(smoothed(raw[1], g, p)) - math.log(smoothed(raw[0], g, p))
+        return total
+
+    return ratio
+
+
+def test_kneser_ney_against_brute_force(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcé中😀") for _ in range(rng.randint(1, 6)))
+    docs = [(" ".join(word() for _ in range(12)), rng.choice([None, None, 0, 1, 2, 3])) for _ in range(60)]
+    keys = toxicity._count_keys(spark.createDataFrame(docs, "text string, label int").repartition(3))
+    table = toxicity.labelled_sequences(keys).toArrow()
+    high, low, below, *counts = (table.column(c).to_numpy() for c in ("high", "low", "below", *toxicity.LABELS))
+    models = toxicity.Models(high, low, below, counts[0] + counts[2], counts[1] + counts[3])
+    scorer = toxicity.Scorer(models)
+    corpus = {w for t, _ in docs for w in t.split()}
+    classes = [[w for t, label in docs if label in (k, k + 2) for w in t.split()] for k in (0, 1)]
+    ratio = brute_kneser_ney(corpus, classes)
+    scorer.learn({w.encode() for w in corpus})
+    for w in corpus:
+        assert scorer.ratio[scorer.known[w.encode()]] == pytest.approx(ratio(w), abs=1e-9)
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity.score(odd, none)
