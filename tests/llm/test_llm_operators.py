@@ -123,24 +123,41 @@ def test_chat_round_trip(spark):
     turns = [(c, t, rng.choice(["user", "assistant", "sys\ntem", None, say()]), rng.choice([None, say(), say()])) for c in (1, 2, None) for t in range(40)]
     turns += [(4, 0, "user", "only"), (5, None, "assistant", "x"), (5, 0, "assistant", "y"), (5, 0, "assistant", "y")]
     rng.shuffle(turns)
-    segments = chat.format_conversations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
-    got = {r.conv_id: r for r in chat.read_back(segments).collect()}
-    for c in {t[0] for t in turns}:
-        own = sorted([t for t in turns if t[0] == c], key=lambda t: (t[1] is not None, t[1] or 0, (t[2] or "").encode(), (t[3] or "").encode()))
-        own = [(r or "", x or "") for _, _, r, x in own]
-        said = "".join(x for r, x in own if r == "assistant")
-        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(own), sha("".join(f"{r}\n{x}\n" for r, x in own).encode()), len(said), sha(said.encode()))
+    turns += [(6, t, "assistant" if t % 3 == 2 else "user", f"{t} <s> " * 40) for t in range(200)]  # far over any limit
+    turns += [(7, t, "user", "never answered " * 9) for t in range(60)]
+    wide = [(*t, "x", 1) for t in turns]  # columns whose names the operator uses
+    source = spark.createDataFrame(wide, "conv_id bigint, turn bigint, role string, text string, segment string, number int")
+    for whole in (chat.WHOLE_CHARS, 500, 0):
+        segments = chat.format_conversations(source)
+        rows = chat.expand(segments, whole)
+        got = {r.conv_id: r for r in chat.read_back(rows).collect()}
+        kept = rows.collect()
+        formatted = collections.defaultdict(str)
+        for r in kept:  # in order: each row goes on where those before end
+            text = formatted[r.conv_id]
+            assert r.text_start <= len(text) and text[r.text_start :] == r.text[: len(text) - r.text_start]
+            formatted[r.conv_id] = text + r.text[len(text) - r.text_start :]
+            if r.example is not None:
+                assert formatted[r.conv_id][: r.loss_start].endswith("<|im_start|>assistant\n") and formatted[r.conv_id][r.loss_end :] == "<|im_end|>\n"
+        assert max(len(r.text) for r in kept) <= whole + max(len(s.segment) for s in segments.collect())
+        for c in {t[0] for t in turns}:
+            own = sorted([t for t in turns if t[0] == c], key=lambda t: (t[1] is not None, t[1] or 0, (t[2] or "").encode(), (t[3] or "").encode()))
+            own = [(r or "", x or "") for _, _, r, x in own]
+            said = "".join(x for r, x in own if r == "assistant")
+            found = (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256, got[c].n_examples, got[c].formatted_chars)
+            assert found == (len(own), sha("".join(f"{r}\n{x}\n" for r, x in own).encode()), len(said), sha(said.encode()), sum(r == "assistant" for r, _ in own), len(formatted[c]))
+            examples = [r for r in kept if r.conv_id == c and r.example is not None]
+            assert [r.example for r in examples] == list(range(len(examples)))
+            if len(formatted[c]) <= whole:
+                assert all(r.text_start == 0 and r.text == formatted[c][: r.loss_end] + "<|im_end|>\n" for r in examples)
     for s in segments.collect():
         inner = s.segment[len(chat.BEGIN) : -len(chat.END) - 1]
         assert not any(c in inner for c in chat.CONTROL)
-    written = chat.written_examples(segments).collect()
-    assert len(written) == segments.where("loss_start is not null").count() == chat.examples(segments).count()
-    assert all(w.formatted[: w.loss_start].endswith("<|im_start|>assistant\n") and w.formatted[w.loss_end :] == "<|im_end|>\n" for w in written)
 
 
 def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
-    assert chat.read_back(chat.format_conversations(none)).count() == 0
+    assert chat.read_back(chat.expand(chat.format_conversations(none))).count() == 0
 
 
 # --- toxicity -----------------------------------------------------------------------------
