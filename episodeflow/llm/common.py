@@ -20,8 +20,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, for checkpoints and written tables.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, a temporary folder is made and set as the checkpoint directory.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, a temporary folder is made and set as the
+    checkpoint directory; on a cluster that would be another disk on each machine.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     folder = sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="episodeflow-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -79,13 +82,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Add a number that is unique for each row, repeated rows included.
+    """A written copy of ``df`` with a number that is unique for each row, repeated rows included.
 
-    Two uses of the returned frame see the same numbers as long as its source
-    deals the same rows to the same partitions, as file scans and written
-    tables do.
+    The number depends on how rows are dealt to partitions, and a scan deals them
+    anew where the executors' number has changed meanwhile. So it is written with
+    the rows, once, and all uses read the same.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def stage_input(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialise, read_table, with_row_id
+from .common import add_columns, read_table, with_row_id
 
 BLOCK_BYTES = 8_000_000
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
@@ -226,7 +226,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_
     second = next(blocks, None)
     if second is None:
         return over(docs, first)
-    docs = materialise(with_row_id(docs), "numbered")
+    docs = with_row_id(docs)
     slim = docs.select("_row", text)
     parts = over(slim, first).drop(text)
     merged = parts.unionByName(over(slim, second).drop(text))

@@ -134,7 +134,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "t
     ``redact``, each match in the text is replaced by that string, one rule
     after the other.
     """
-    rows = with_row_id(docs.drop("spans"))
+    rows = with_row_id(docs.drop("spans"))  # the scan below and the index see the same numbers
     numbered = rows.select("_row", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = candidates(numbered, rules)
     if found is not None:

@@ -19,8 +19,9 @@ The chunked framing is then decoded and the payload's digest compared.
 Of equal payloads of at least ``REVISIT_BYTES``, one record keeps the payload
 and the others are revisit records that refer to it. Equality is of SHA-256 and
 length. A payload that a third of all rows share is one row in the pre-aggregated
-table of first records, and the join with it is one whose large partitions
-adaptive execution may split.
+table of first records. Payloads are written with their numbers and digests
+once; that table is broadcast while it is small (``common.small_side``), so they
+aren't shuffled.
 
 Defined cases: a null html is an empty payload; repeated page ids, and repeated
 rows, give a record each (of equal payloads all but one revisit, and refer to a
@@ -34,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, with_row_id
+from .common import discard, materialise, read_table, scratch_path, small_side, with_row_id
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
@@ -45,16 +46,19 @@ CRLF, VERSION = "\r\n", "WARC/1.1"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """Each page with its payload, digest and role: response, or revisit with refers_to."""
-    rows = with_row_id(pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha2("payload", 256))
+def plan_records(pages: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Each page with its payload, digest and role, response or revisit with what it
+    refers to; and the written tables that this reads."""
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = with_row_id(rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha2("payload", 256)))
     able = (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()
-    firsts = rows.where(able).groupBy("digest", "payload_bytes").agg(F.min(F.struct("page_id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = rows.where(able).groupBy("digest", "payload_bytes").agg(F.min(F.struct("page_id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialise(firsts.select(F.col("digest").alias("key"), "first"), "firsts")
     keyed = rows.withColumn("key", F.when(able, F.col("digest")))
-    # a null key joins with nothing; of the two sides, the one of duplicated payloads only is the small one
-    joined = keyed.join(firsts.select(F.col("digest").alias("key"), "first").hint("shuffle_hash"), "key", "left")
-    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", "_row", F.when(F.col("first._row") != F.col("_row"), F.col("first")).alias("refers"))
+    # a null key joins with nothing; payloads stay where they are while few of them are repeated
+    joined = keyed.join(small_side(firsts), "key", "left")
+    planned = joined.select("page_id", "url", "payload", "payload_bytes", "digest", "_row", F.when(F.col("first._row") != F.col("_row"), F.col("first")).alias("refers"))
+    return planned, (rows, firsts)
 
 
 def _record_id(page, row):
@@ -64,7 +68,7 @@ def _record_id(page, row):
 def write_archive(pages: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write one record for each row of pages (page_id, url, html) to a new folder."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    rows = plan_records(pages)
+    rows, written = plan_records(pages)
     # bytes are handled as strings from here: the writer puts them out as they are
     cut = "transform(sequence(0L, payload_bytes - 1, {0}L), i -> concat(lower(hex(least({0}L, payload_bytes - i))), '\\r\\n', cast(substring(payload, int(i) + 1, {0}) as string), '\\r\\n'))".format(CHUNK_BYTES)
     framed = text(HTTP_HEAD, F.when(F.col("payload_bytes") > 0, F.array_join(F.expr(cut), "")).otherwise(F.lit("")), "0\r\n\r\n")
@@ -83,6 +87,7 @@ def write_archive(pages: DataFrame, path: str, compression: str = "gzip") -> Non
         'Content-Length: ', cast(least(size - i * {SEGMENT_BYTES}, {SEGMENT_BYTES}) as string), '\\r\\n\\r\\n', cast(substring(block, i * {SEGMENT_BYTES} + 1, {SEGMENT_BYTES}) as string)))"""
     records = rows.withColumn("head", head).select(F.explode(F.expr(f"concat(array({first}), if(size > {SEGMENT_BYTES}, {rest}, cast(array() as array<string>)))")).alias("value"))
     records.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    discard(*written)
 
 
 def parse_file(content: bytes):
