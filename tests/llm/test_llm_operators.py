@@ -544,6 +544,53 @@ def test_url_rules_and_edges(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(only).collect()} == {1: "block", 2: "allow"}
 
 
+def brute_url_verdicts(urls):
+    """Scores and verdicts of URLs by dictionaries, and the level, from the text of the method alone."""
+    fold = lambda u: "^^" + re.sub(r"[^a-z0/.\-_?=&%#:]", "~", re.sub(r"[1-9]", "0", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", u or "").translate({c: c + 32 for c in range(65, 91)}))) + "$"
+
+    def rule(u):
+        m = re.search(r"://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    folded, given = [fold(u) for u in urls], [rule(u) for u in urls]
+    held = [hashlib.md5(f.encode()).hexdigest()[0] in "012" for f in folded]
+    models = {}
+    for verdict in ("allow", "block"):
+        counts = collections.Counter(f[i : i + 3] for f, v, h in zip(folded, given, held, strict=True) if v == verdict and not h for i in range(len(f) - 2))
+        two, one = collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            two[g[1:]] += n
+            one[g[2]] += n
+        models[verdict] = counts, two, one
+
+    def p(model, g):
+        counts, two, one = model
+        value = (one[g[2]] + 1 / 40) / (sum(one.values()) + 1)
+        for table, key in ((two, g[1:]), (counts, g)):
+            after = {k: n for k, n in table.items() if k[:-1] == key[:-1]}
+            every = sum(after.values())
+            value = (table[key] + len(after) * value) / (every + len(after)) if every else value
+        return value
+
+    scores = [sum(math.log(p(models["allow"], f[i : i + 3]) / p(models["block"], f[i : i + 3])) for i in range(len(f) - 2)) / (len(f) - 2) for f in folded]
+    mean = lambda v: (lambda xs: sum(xs) / len(xs))([s for s, g, h in zip(scores, given, held, strict=True) if g == v and h])
+    level = (mean("allow") + mean("block")) / 2
+    return [(None if v else s, v or ("allow" if s >= level else "block")) for s, v in zip(scores, given, strict=True)]
+
+
+def test_url_model_against_brute_force(spark):
+    rng = random.Random(15)
+    part = lambda: "".join(rng.choice("abcxyz019-é~%") for _ in range(rng.randint(0, 6)))
+    hosts = ["a.net", "example.net/en", "www.example.com/de", "x.org/fr", "shop.com", "b.org", "c.io/de"]
+    urls = [f"https://{rng.choice(hosts)}/{part()}/{part()}?q={part()}" for _ in range(120)] + [None, "", "no scheme", "HTTP://X.COM"]
+    urls += urls[:10]  # repeated rows
+    got = {r.page_id: (r.score, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()}
+    for i, (score, verdict) in enumerate(brute_url_verdicts(urls)):
+        assert got[i][1] == verdict and (got[i][0] is None if score is None else got[i][0] == pytest.approx(score, abs=1e-9)), urls[i]
+
+
 # --- nearest neighbours -------------------------------------------------------------------
 
 
