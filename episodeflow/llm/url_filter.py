@@ -129,7 +129,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
         ratios = _ratio_array(spark, counts)
         scored = decided.where(_is_held_out(F.col("f"))).select("v", mean_ratio(F.col("f"), ratios).alias("s"))
         means = scored.agg(*[F.avg(F.when(F.col("v") == v, F.col("s"))).alias(v) for v in ("allow", "block")]).first()
-        level = 0.0 if None in means else (means["allow"] + means["block"]) / 2
+        level = 0.0 if None in tuple(means) else (means["allow"] + means["block"]) / 2
         score = F.when(F.col("_rule").isNull(), mean_ratio(F.col("_f"), ratios))
         by_score = F.when(F.round(F.col("score") - F.lit(level), 9) >= 0, "allow").otherwise("block")
     out = rows.withColumn("score", score)
