@@ -619,6 +619,16 @@ def test_ann_recall_ties_and_edges(spark, monkeypatch):
     assert ann.search(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_ann_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [2.0, 0.0], 1, "a"), (0, [1.0, 0.0], 1, "b"), (0, [1.0, 0.0], 1, "b"), (1, [3.0, 1.0], 2, "c"), (1, [0.5, 0.0], 2, "d"), (20, [1.0, 1.0], 3, "e")]
+    found = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, list int, code string")).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+    # one query for an id, of the least packed bytes; each row of another id is a candidate
+    assert got == {0: [(1, 6.0), (20, 2.0), (1, 1.0)], 20: [(1, 4.0), (0, 2.0), (0, 1.0), (0, 1.0), (1, 0.5)]}
+
+
 # --- the whole ----------------------------------------------------------------------------
 
 
