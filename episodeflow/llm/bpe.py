@@ -200,7 +200,7 @@ class TextCodec:
         return out + self._encode(group)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.cut(t) if self.cut and "<" in t else [t] for t in texts]
+        pieces = [self.cut(t) if any(s in t for s in self.special) else [t] for t in texts]
         cut = [[p if i % 2 else self.words(p) for i, p in enumerate(ps)] for ps in pieces]
         known = self.known
         out = []

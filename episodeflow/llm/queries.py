@@ -6,8 +6,6 @@ from . import ann, bpe, chat, decontaminate, secrets, simhash, suffix_dedup, tox
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
         "op1_warc": warc.op1_warc,
         "op2_secrets": secrets.op2_secrets,
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_ann": ann.op10_ann,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -313,17 +313,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_links(fps: DataFrame, budget: int = 16, tables: int = 80, bits: int = 14, seed: int = 11) -> DataFrame:
+def sampled_links(fps: DataFrame, budget: int = 16, tables: int = 80, bits: int | None = None, seed: int = 11) -> DataFrame:
     """Likely links (a, b) within up to ``budget`` bits, nearest first.
 
     Beyond two bits no few blocks must agree, so each of ``tables`` random choices
     of ``bits`` bits deals the fingerprints out, and those that agree there meet.
-    A link of nine bits is met with a probability of 0.9995, one of eleven with
-    0.98, one of fourteen with 0.79. A second fingerprint (fp2) must be as near,
+    Unless stated, bits follow the number of written ``fps``, so that groups stay
+    at some 16 fingerprints however many there are. With 14 bits (262,144
+    fingerprints), a link of nine bits is met with a probability of 0.9995, one of
+    eleven with 0.98, one of fourteen with 0.79. A second fingerprint (fp2) must be as near,
     which leaves hardly any link by chance. Of a group's links, a forest of the
     nearest is returned; each is a pair that did meet.
     """
 
+    bits = bits or max(14, fps.count().bit_length() - 5)
+
     def deal(batches):
         import numpy as np
         import pyarrow as pa

@@ -665,17 +665,86 @@ def test_pipeline_stages_with_clashing_columns(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, df, "/root/testdata/sf0.001").count() == n
 
 
-def test_pipeline_stages(spark):
+def brute_cut(text, benchmark):
+    """A text without benchmark passages; None where these are most of it."""
+    find = lambda t: [(m.start(), m.end(), re.sub("[A-Z]", lambda x: x[0].lower(), m[0])) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    words = find(text)
+    hit = [False] * len(words)
+    windows = set()
+    for item in benchmark:
+        own = [w for _, _, w in find(item)]
+        m = min(8, len(own))
+        windows |= {tuple(own[i : i + m]) for i in range(len(own) - m + 1) if m}
+    for m in {len(w) for w in windows}:
+        for i in range(len(words) - m + 1):
+            if tuple(w for _, _, w in words[i : i + m]) in windows:
+                hit[i : i + m] = [True] * m
+    if words and sum(hit) * 2 > len(words):
+        return None
+    out, done, i = [], 0, 0
+    while i < len(words):
+        j = i
+        while j < len(words) and hit[j]:
+            j += 1
+        if j - i >= 4:
+            out.append(text[done : words[i][0]])
+            done = words[j - 1][1]
+        i = max(j, i + 1)
+    return text if text is None else "".join([*out, text[done:]])
+
+
+def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
+    import numpy as np
+    from tokenizers import Tokenizer
+
     from episodeflow.llm.common import materialise, read_table
 
     d = "/root/testdata/sf0.001"
     docs = read_table(spark, d, "documents")
     columns = docs.columns
-    seen = [docs.count()]
+    benchmark = [r.text for r in read_table(spark, d, "benchmark").collect()]
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
     for name, stage in corpus_pipeline.STAGES:
-        docs = materialise(stage(spark, docs, d), name)
-        seen.append(docs.count())
+        before = sorted(docs.collect(), key=lambda r: r.doc_id)
+        out = materialise(stage(spark, docs, d), name)
+        if name == "toxicity":
+            want = {r.doc_id for r in toxicity.score(docs, read_table(spark, d, "labels")).where("score < 0.5").collect()}
+            assert {r.doc_id for r in out.collect()} == want and len(want) > 100
+        elif name == "near_duplicates":
+            groups = brute_groups([re.sub("[A-Z]", lambda x: x[0].lower(), r.text or "") for r in before])
+            kept = collections.Counter(groups[i] for i, r in enumerate(before) if (r.doc_id, r.text) in texts(out))
+            assert out.count() == len(set(groups)) and set(kept) == set(groups)
+        elif name == "decontamination":
+            assert texts(out) == collections.Counter((r.doc_id, t) for r in before if (t := brute_cut(r.text, benchmark)) is not None or r.text is None)
+        elif name == "secrets":
+            rules = ASKED + [(r.kind, r.pattern, r.group, r.least) for r in secrets.EXTRA]
+            redacted = {r.doc_id: r.text for r in out.collect()}
+            assert len(redacted) == len(before) and not any(brute_spans(t, rules) for t in redacted.values())
+            assert all(redacted[r.doc_id] == r.text for r in before if not brute_spans(r.text, rules))
+        else:
+            ids = {r.doc_id: r.ids for r in out.collect()}
+            assert all(ids[r.doc_id] == library.encode(r.text or "", add_special_tokens=False).ids for r in before) and len(ids) == len(before)
         if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == columns
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 0
+            assert out.columns == columns
+        docs = out
+
+
+def test_row_numbers_outlive_another_deal_of_the_scan(spark, tmp_path):
+    from episodeflow.llm.common import with_row_id
+
+    spark.range(0, 4000, 1, 6).selectExpr("id", "repeat(cast(id as string), 50) as text").write.parquet(str(tmp_path / "t"))
+    conf = {"spark.sql.files.openCostInBytes": ("1", "100000000"), "spark.sql.files.maxPartitionBytes": ("20000", "100000000")}
+    read = lambda df: {r.id: r._row for r in df.collect()}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v[0])
+        numbered = with_row_id(spark.read.parquet(str(tmp_path / "t")))
+        first = read(numbered)
+        for k, v in conf.items():
+            spark.conf.set(k, v[1])
+        assert read(numbered) == first and len(set(first.values())) == 4000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
