@@ -18,8 +18,8 @@ STAGES = [
     ("tokens", bpe.encode_corpus),
 ]
 
-#: Trained models, fingerprints and token ids are nothing that SQL can compute;
-#: tests hold each stage against a brute-force version.
+#: Trained models, fingerprints and token ids are nothing that SQL can compute. Tests
+#: hold the stages against brute-force versions over the documents of one table.
 ORACLE_SQL = None
 
 
