@@ -14,6 +14,19 @@ def assign_chunks(steps: DataFrame, size: int, by: str = EP, order: str = "t") -
     return steps.withColumn("chunk_index", F.floor(F.col(order) / size).cast("bigint"))
 
 
+def map_chunks(steps: DataFrame, size: int, function, schema: str, by: str = EP, order: str = "t") -> DataFrame:
+    """Apply ``function`` to each chunk of an episode, a pandas frame in order of its steps.
+
+    It gets the key (episode, chunk_index) and the frame, and returns a frame of
+    ``schema``. A task holds one chunk at a time, however long the episode is.
+    """
+
+    def run(key, frame):
+        return function(key, frame.sort_values(order, kind="stable", ignore_index=True))
+
+    return assign_chunks(steps, size, by, order).groupBy(by, "chunk_index").applyInPandas(run, schema)
+
+
 def manifest(steps: DataFrame, size: int, by: str = EP, order: str = "t", suffix: str = "bin") -> DataFrame:
     """One row for each chunk, with its inclusive range of steps."""
     chunks = assign_chunks(steps, size, by, order).groupBy(by, "chunk_index").agg(F.min(order).alias("t_start"), F.max(order).alias("t_end"), F.count("*").alias("length_t"))

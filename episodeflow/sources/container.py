@@ -2,9 +2,11 @@
 
 A container is a header of 64 bytes, an index entry of 48 bytes for each block, a
 table of names and the blocks' data, each block compressed and checksummed by
-itself. Files are listed and fetched by Spark's ``binaryFile`` source, so they
-may lie in any store that Spark reads, and are parsed in Arrow batches. A scan
-that names blocks decompresses and checks those alone.
+itself. Files are listed by Spark's ``binaryFile`` source. A scan then opens each
+file where it lies and fetches the header, the index and the blocks that it asks
+for, each by its place (``sources.files``); where a store can't be opened that way,
+``access="whole"`` fetches whole files by Spark. A scan that names blocks fetches,
+decompresses and checks those alone.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import compress, crc32c, decompress, encode_tensor, name_hash
 from ..functions.names import FLAG_COMPRESSED, FLAG_LZ4, FLAG_ZSTD
+from .files import Memory, opened, write_files
 
 #: Fixed values of the format.
 MAGIC, VERSION, HEADER, ENTRY = b"SHRD", 2, 64, 48
@@ -41,7 +44,10 @@ class Broken(ValueError):
     """A container that breaks the format."""
 
 
-def read_header(data: bytes) -> dict:
+def read_header(data) -> dict:
+    """The header of a container: bytes, or an opened file."""
+    source = Memory.of(data)
+    size, data = source.size, source.read(0, HEADER)
     if len(data) < HEADER:
         raise Broken("the header is cut short")
     magic, version, role, flags, alignment, codec, entry, count, names, start, schema, total = _HEAD.unpack_from(data)
@@ -51,23 +57,25 @@ def read_header(data: bytes) -> dict:
         raise Broken(f"version {version} is not supported")
     if entry != ENTRY or codec >= len(CODECS) or alignment not in (0, 16, 32, 64):
         raise Broken("the header has values that the format doesn't know")
-    if count > MOST_BLOCKS or HEADER + count * ENTRY > len(data) or total not in (0, len(data)):
+    if count > MOST_BLOCKS or HEADER + count * ENTRY > size or total not in (0, size):
         raise Broken("the file has another size than its header says")
-    if not HEADER + count * ENTRY <= names <= start <= len(data) or start - names > MOST_NAMES or schema > len(data):
+    if not HEADER + count * ENTRY <= names <= start <= size or start - names > MOST_NAMES or schema > size:
         raise Broken("sections overlap or lie outside the file")
     return {"role": role, "flags": flags, "alignment": alignment, "codec": CODECS[codec], "count": count, "names": names, "data": start, "schema": schema}
 
 
-def read_entries(data: bytes) -> tuple[dict, list[dict]]:
-    """Header and index; the blocks' data aren't touched."""
-    head = read_header(data)
-    names = data[head["names"] : head["data"]]
+def read_entries(data) -> tuple[dict, list[dict]]:
+    """Header and index of bytes or an opened file; the blocks' data aren't touched."""
+    source = Memory.of(data)
+    head = read_header(source)
+    index = source.read(HEADER, head["count"] * ENTRY)
+    names = source.read(head["names"], head["data"] - head["names"])
     out, spans = [], []
     for i in range(head["count"]):
-        hashed, at, size, flags, offset, disk, orig, crc, reserved = _ENTRY.unpack_from(data, HEADER + i * ENTRY)
+        hashed, at, size, flags, offset, disk, orig, crc, reserved = _ENTRY.unpack_from(index, i * ENTRY)
         if at + size > len(names):
             raise Broken(f"the name of block {i} lies outside the table")
-        if disk and (offset < head["data"] or offset + disk > len(data)):
+        if disk and (offset < head["data"] or offset + disk > source.size):
             raise Broken(f"block {i} lies outside the file")
         try:
             name = names[at : at + size].decode()
@@ -85,16 +93,42 @@ def read_entries(data: bytes) -> tuple[dict, list[dict]]:
     return head, out
 
 
-def read_block(data: bytes, entry: dict, has_checksums: bool = True, verify: bool = True) -> tuple[bytes, bool]:
+def read_block(data, entry: dict, has_checksums: bool = True, verify: bool = True) -> tuple[bytes, bool]:
     """A block's bytes and whether their checksum is right; one that isn't stored is."""
     try:
-        payload = decompress(data[entry["offset"] : entry["offset"] + entry["disk"]], entry["codec"], entry["orig"])
+        payload = decompress(Memory.of(data).read(entry["offset"], entry["disk"]), entry["codec"], entry["orig"])
     except ValueError as e:
         raise Broken(str(e)) from None
     stored = entry["crc"] or has_checksums
     return payload, not verify or not stored or crc32c(payload) == entry["crc"]
 
 
+def read_prefix(data, entry: dict, n: int) -> bytes:
+    """The first ``n`` bytes of a block, unchecked.
+
+    Of a block that isn't compressed no more is fetched; of a zstd block so much
+    as they need; an LZ4 block is decompressed whole.
+    """
+    source, at, disk = Memory.of(data), entry["offset"], entry["disk"]
+    if entry["codec"] == "none":
+        return source.read(at, min(n, disk))
+    if entry["codec"] == "lz4" or n >= entry["orig"]:
+        return read_block(source, entry, verify=False)[0][:n]
+    import zstandard
+
+    out, done, step = b"", 0, 4_096
+    unpack = zstandard.ZstdDecompressor().decompressobj()
+    try:
+        while len(out) < n and done < disk and not unpack.eof:
+            out += unpack.decompress(source.read(at + done, min(step, disk - done)))
+            done, step = done + step, step * 2
+    except zstandard.ZstdError as e:
+        raise Broken(f"a zstd block is broken: {e}") from None
+    if len(out) < n:
+        raise Broken("a block has another size than stated")
+    return out[:n]
+
+
 def write_container(blocks: dict[str, bytes], codec: str = "zstd", alignment: int = 32, role: int = ROLE_EPISODE, content_types: dict[str, int] | None = None) -> bytes:
     """The bytes of a container; blocks lie in the order of their names.
 
@@ -124,36 +158,46 @@ def write_container(blocks: dict[str, bytes], codec: str = "zstd", alignment: in
 
 
 def parse_blocks(files: DataFrame, prefix: str | None = None, names: list[str] | None = None, payload: bool = True, verify: bool = True, first_bytes: int | None = None, permissive: bool = False) -> DataFrame:
-    """The blocks of containers (path, content), a row each.
+    """The blocks of containers (path, content or length), a row each.
 
-    ``prefix`` and ``names`` choose blocks before their data are touched.
-    ``first_bytes`` cuts payloads. A broken container fails the scan, or with
-    ``permissive`` gives one row with its error.
+    Without content the files are opened and read by place. ``prefix`` and
+    ``names`` choose blocks before their data are touched. ``first_bytes`` asks for
+    the beginning of payloads, which can't be checked. A broken container fails the
+    scan, or with ``permissive`` gives one row with its error.
     """
     if first_bytes is not None and first_bytes < 0:
         raise ValueError("first_bytes is negative")
     wanted = None if names is None else set(names)
 
-    def rows(path: str, data: bytes):
+    def rows(path: str, data):
         head, entries = read_entries(data)
         for i, e in enumerate(entries):
             name = e["name"]
             if (wanted is not None and name not in wanted) or (prefix and name != prefix and not name.startswith(f"{prefix}/")):
                 continue
-            block, ok = read_block(data, e, bool(head["flags"] & FLAG_CHECKSUMS), verify) if payload or verify else (None, None)
+            if payload and first_bytes is not None:
+                block, ok = read_prefix(data, e, first_bytes), None
+            else:
+                block, ok = read_block(data, e, bool(head["flags"] & FLAG_CHECKSUMS), verify) if payload or verify else (None, None)
             lane, _, channel = name.partition("/")
-            yield (path, head["role"], i, name, lane, channel, e["hash"], e["flags"], e["codec"], e["reserved"] & 0xFFFF, e["reserved"] >> 16, e["offset"], e["disk"], e["orig"], e["crc"], ok, e["hash"] == name_hash(name), block[:first_bytes] if payload else None, None)
+            yield (path, head["role"], i, name, lane, channel, e["hash"], e["flags"], e["codec"], e["reserved"] & 0xFFFF, e["reserved"] >> 16, e["offset"], e["disk"], e["orig"], e["crc"], ok, e["hash"] == name_hash(name), block if payload else None, None)
 
     schema = _arrow_schema(BLOCKS)
+    whole = "content" in files.columns
 
     def run(batches):
-        import pyarrow as pa
         from decimal import Decimal
 
+        import pyarrow as pa
+
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for path, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    out = list(rows(path, content.as_py()))
+                    if whole:
+                        out = list(rows(path, held.as_py()))
+                    else:
+                        with opened(path, held.as_py()) as source:
+                            out = list(rows(path, source))
                 except Broken as e:
                     if not permissive:
                         raise Broken(f"{path}: {e}") from None
@@ -163,12 +207,18 @@ def parse_blocks(files: DataFrame, prefix: str | None = None, names: list[str] |
                     columns[6] = [None if h is None else Decimal(h) for h in columns[6]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
 
-    return files.select("path", "content").mapInArrow(run, BLOCKS)
+    return files.select("path", "content" if whole else "length").mapInArrow(run, BLOCKS)
+
 
+def read_blocks(spark: SparkSession, path: str, access: str = "seek", **options) -> DataFrame:
+    """The blocks of the container files of a path or glob; see ``parse_blocks``.
 
-def read_blocks(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The blocks of the container files of a path or glob; see ``parse_blocks``."""
-    return parse_blocks(spark.read.format("binaryFile").load(path), **options)
+    With ``access="whole"`` Spark fetches whole files, from any store that it reads.
+    """
+    if access not in ("seek", "whole"):
+        raise ValueError("access is seek or whole")
+    files = spark.read.format("binaryFile").load(path)
+    return parse_blocks(files.select("path", "content" if access == "whole" else "length"), **options)
 
 
 def catalog(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -245,54 +295,6 @@ def decode_steps(blocks: DataFrame) -> DataFrame:
     return flat.where(F.size("flat") >= F.col("width")).select("file", "name", "lane", "channel", F.posexplode(rows).alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """Write (path, content) rows as files of a folder that all executors can write.
-
-    Each file is written under a task's own name and then renamed, so a repeated
-    or lost task leaves no part of a file under its name.
-    """
-    from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-
-    class Writer(DataSourceWriter):
-        def __init__(self, folder: str):
-            self.folder = folder
-
-        def write(self, rows):
-            import os
-            import uuid
-
-            for row in rows:
-                target = os.path.join(self.folder, row["path"])
-                part = f"{target}.{uuid.uuid4().hex}.partial"
-                with open(part, "wb") as f:
-                    f.write(row["content"])
-                os.replace(part, target)
-            return WriterCommitMessage()
-
-        def abort(self, messages):
-            import contextlib
-            import glob
-            import os
-
-            for part in glob.glob(os.path.join(self.folder, "*.partial")):
-                with contextlib.suppress(OSError):
-                    os.remove(part)
-
-    class Containers(DataSource):
-        @classmethod
-        def name(cls):
-            return "episode_container"
-
-        def writer(self, schema, overwrite):
-            return Writer(self.options["path"])
-
-    import os
-
-    os.makedirs(path, exist_ok=True)
-    files.sparkSession.dataSource.register(Containers)
-    files.select("path", "content").write.format("episode_container").mode("append").save(path)
-
-
 def file_metadata(files: DataFrame) -> DataFrame:
     """(file, metadata): the JSON behind a container's schema offset, null where it has none."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 RESERVED = ("action", "act", "act_disc", "act_cont", "reward", "is_first", "is_last", "is_terminal", "stepid", "discount", "done")
 ACTIONS = ("action", "act", "act_disc", "act_cont")
 OBSERVATIONS = ("image", "vector", "state", "proprio", "obs")
-STEPS = "file string, episode_id string, t bigint, channel string, lane string, value array<double>, is_last boolean, is_terminal boolean, is_first boolean"
+STEPS = "file string, episode_id string, t bigint, channel string, lane string, value array<double>, is_last boolean, is_terminal boolean, is_first boolean, truncated boolean"
 
 
 def episode_id_of(path: str) -> str:
@@ -31,7 +31,8 @@ def _arrow_schema(ddl: str):
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
     """The steps of replay archives; truncated is what ends without being terminal.
 
-    Pickled arrays are refused.
+    A flag array that is shorter than its episode says nothing of the steps beyond
+    it. Pickled arrays are refused.
     """
     return parse_npz(spark.read.format("binaryFile").load(path))
 
@@ -44,19 +45,20 @@ def parse_npz(files: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
+
         for batch in batches:
             for path_, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as data:
                     arrays = {k: data[k] for k in data.files if data[k].ndim and len(data[k])}
                 n = max((len(a) for a in arrays.values()), default=0)
-                flag = lambda *keys, a=arrays, n=n: next((np.resize(a[k].astype(bool), n) for k in keys if k in a), np.zeros(n, bool))
+                flag = lambda *keys, a=arrays, n=n: next((np.pad(a[k].astype(bool).ravel()[:n], (0, max(0, n - a[k].size))) for k in keys if k in a), np.zeros(n, bool))
                 terminal = flag("is_terminal", "is_last")
                 observed = [k for k, a in arrays.items() if k in OBSERVATIONS or a.ndim >= 2 and k not in RESERVED]
                 lanes = [(k, "signal") for k in observed] + [(k, "action") for k in ACTIONS if k in arrays] + [("reward", "reward")] * ("reward" in arrays)
                 for name, lane in lanes:
                     a = arrays[name].reshape(len(arrays[name]), -1).astype("f8")
                     m = len(a)
-                    columns = [[path_] * m, [episode_id_of(path_)] * m, range(m), [name] * m, [lane] * m, list(a), flag("is_last")[:m], terminal[:m], flag("is_first")[:m]]
+                    columns = [[path_] * m, [episode_id_of(path_)] * m, range(m), [name] * m, [lane] * m, list(a), flag("is_last")[:m], terminal[:m], flag("is_first")[:m], (flag("is_last") & ~terminal)[:m]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
 
     return files.select("path", "content").mapInArrow(run, STEPS)
