@@ -13,6 +13,8 @@ from ..operators import catalog as C
 from ..operators import chunks as K
 from ..operators import episodes as E
 from ..operators import residual as R
+from ..operators import schema as S
+from ..operators import steps as P
 from .views import BL, EV, LI, OM, blocks, event_steps, item_steps, predicted_steps, table
 
 QUERIES: dict = {}
@@ -204,19 +206,23 @@ def j02(spark, d):
     return found.groupBy("channel").agg(F.count("entry_idx").alias("n_blocks"))
 
 
+def _lanes(spark, d):
+    """Signal and prediction as long steps."""
+    rows = predicted_steps(spark, d)
+    lane = lambda name, model, value: F.struct(F.lit(name).alias("lane"), F.lit("x").alias("channel"), F.lit(model).alias("model_id"), F.col(value).alias("value"))
+    return rows.select("episode_id", "t", F.explode(F.array(lane("signal", "", "x"), lane("omen", "ma3", "omen"))).alias("s")).select("episode_id", "t", "s.*")
+
+
 @query("j03_prediction_error", f"WITH {OM} SELECT episode_id, t, round(x - omen, 7) AS error FROM om")
 def j03(spark, d):
-    rows = predicted_steps(spark, d)
-    long = rows.select("episode_id", "t", F.lit("signal").alias("lane"), "x").unionByName(rows.select("episode_id", "t", F.lit("omen").alias("lane"), F.col("omen").alias("x")))
-    pair = long.groupBy("episode_id", "t").agg(F.max(F.when(F.col("lane") == "signal", F.col("x"))).alias("s"), F.max(F.when(F.col("lane") == "omen", F.col("x"))).alias("o"))
-    return pair.select("episode_id", "t", F.round(F.col("s") - F.col("o"), 7).alias("error"))
+    return P.prediction_errors(_lanes(spark, d), "x", "ma3").withColumn("error", F.round("error", 7))
 
 
 @query("j04_scales_join", f"{QZ}, w AS (SELECT episode_id, win, any_value(scale) AS scale FROM q2 GROUP BY ALL) SELECT q2.episode_id, t, round(greatest(-127, least(127, round_even(delta / q2.scale, 0)))::INT * w.scale, 7) AS deviation FROM q2 JOIN w USING (episode_id, win)")
 def j04(spark, d):
     q = R.quantise(predicted_steps(spark, d), "x", "omen", 32)
-    scales = q.groupBy("episode_id", "win").agg(F.first("scale").alias("s"))
-    return q.join(scales, ["episode_id", "win"]).select("episode_id", "t", F.round(F.col("q") * F.col("s"), 7).alias("deviation"))
+    scales = q.groupBy("episode_id", "win").agg(F.first("scale").alias("scale"))
+    return P.scaled(q, scales).select("episode_id", "t", F.round("deviation", 7).alias("deviation"))
 
 
 CHUNKS = f"{LI}, ch AS (SELECT episode_id, t // 3 AS chunk_index, min(t) AS t_start, max(t) AS t_end, count(*) AS length_t FROM li GROUP BY ALL), mf AS (SELECT *, count(*) OVER (PARTITION BY episode_id) AS total_chunks, printf('%d_chunk_%04d.bin', episode_id, chunk_index) AS uri FROM ch)"
@@ -299,12 +305,12 @@ def o05(spark, d):
 def j07(spark, d):
     hits = E.nearest_episodes(table(spark, d, "embeddings").withColumn("episode_id", F.col("vec_id")), _vector(spark, d), 10)
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return docs.join(F.broadcast(hits.select(F.col("vec_id").alias("doc_id"), F.round("score", 9).alias("score"))), "doc_id")  # k rows
+    return P.hit_episodes(hits.select(F.col("vec_id").alias("doc_id"), F.round("score", 9).alias("score")), docs, "doc_id")
 
 
 @query("k13_vector_rows", "SELECT vec_id AS episode_id, label AS env_id, 'ep/' || vec_id || '.bin' AS file_path, len(embedding) AS dim FROM embeddings")
 def k13(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("episode_id"), F.col("label").alias("env_id"), F.concat(F.lit("ep/"), F.col("vec_id").cast("string"), F.lit(".bin")).alias("file_path"), F.size("embedding").cast("bigint").alias("dim"))
+    return P.vector_rows(table(spark, d, "embeddings"), "vec_id", "label", "embedding", "ep").drop("embedding")
 
 
 @query("p01_channel_projection", f"""WITH {BL}, x AS (SELECT *, split_part(name, '/', 1) AS lane, regexp_extract(name, '^[^/]*/(.*)$', 1) AS rest FROM bl)
@@ -316,7 +322,7 @@ def p01(spark, d):
 @query("p02_multimodal_filter", "SELECT conv_id, turn, role || '/' || 'language' AS channel FROM conversations WHERE role = 'user'")
 def p02(spark, d):
     rows = table(spark, d, "conversations").withColumn("channel", F.concat_ws("/", "role", F.lit("language")))
-    return rows.where((F.substring_index("channel", "/", 1) == "user") & (F.substring_index("channel", "/", -1) == "language")).select("conv_id", "turn", "channel")
+    return P.modality_steps(rows, "user", "language").select("conv_id", "turn", "channel")
 
 
 @query("p05_prefix_listing", f"WITH {BL} SELECT entry_idx, name FROM bl WHERE name = 'signal/c1' OR starts_with(name, 'signal/c1/')")
@@ -332,7 +338,8 @@ def p06(spark, d):
 @query("p07_tags", "SELECT event_id, list_contains(['a' || (event_id % 3), 'b' || (event_id % 5)], 'b2') AS has FROM events WHERE list_contains(['a' || (event_id % 3), 'b' || (event_id % 5)], 'b2')")
 def p07(spark, d):
     tag = lambda p, n: F.concat(F.lit(p), (F.col("event_id") % n).cast("string"))
-    return table(spark, d, "events").withColumn("tags", F.array(tag("a", 3), tag("b", 5))).withColumn("has", F.array_contains("tags", "b2")).where("has").select("event_id", "has")
+    rows = table(spark, d, "events").select("event_id", F.array(tag("a", 3), tag("b", 5)).alias("tags"))
+    return P.with_tag(rows, "b2").select("event_id", F.lit(True).alias("has"))
 
 
 @query("p08_p09_tag_bits", f"WITH {BL} SELECT entry_idx, reserved & 65535 AS content_type, (reserved >> 16) & 65535 AS tag_bits FROM bl WHERE ((reserved >> 16) & 4) <> 0")
@@ -415,8 +422,7 @@ def v04(spark, d):
 
 @query("v08_known_modality", "SELECT event_type, CASE WHEN event_type IN ('rgb', 'depth', 'language', 'proprioception', 'audio', 'video', 'pointcloud') THEN event_type END AS modality, count(*) AS n FROM events GROUP BY ALL")
 def v08(spark, d):
-    known = F.when(F.col("event_type").isin(*N.MODALITIES), F.col("event_type"))
-    return table(spark, d, "events").groupBy("event_type", known.alias("modality")).agg(F.count("*").alias("n"))
+    return table(spark, d, "events").groupBy("event_type", P.known_modality(F.col("event_type")).alias("modality")).agg(F.count("*").alias("n"))
 
 
 @query("u01_unlisted_blocks", f"WITH {BL}, l AS (SELECT DISTINCT name FROM bl WHERE entry_idx % 4 = 0) SELECT entry_idx, name, true AS listed FROM bl WHERE name IN (SELECT name FROM l) UNION ALL SELECT entry_idx, name, false FROM bl WHERE (starts_with(name, 'signal/') OR starts_with(name, 'action/')) AND name NOT IN (SELECT name FROM l)")
@@ -445,7 +451,7 @@ def f_str5(spark, d):
 
 @query("f_str6_r01_mangled_names", f"WITH {BL} SELECT entry_idx, replace(name, '/', '_') AS flat FROM bl")
 def f_str6(spark, d):
-    return blocks(spark, d).select("entry_idx", F.translate("name", "/", "_").alias("flat"))
+    return blocks(spark, d).select("entry_idx", P.flat_name(F.col("name")).alias("flat"))
 
 
 @query("f_dt1_ticks_to_ns", "SELECT p_partkey, trunc(1e9 / p_size)::BIGINT AS cut, round(1e9 / p_size)::BIGINT AS rounded FROM part")
@@ -473,8 +479,7 @@ def f_typ1(spark, d):
 
 @query("f_json1_metadata", "SELECT event_id, coalesce(json_extract_string(props, '$.episode_id'), json_extract_string(props, '$.id'), event_id::VARCHAR) AS id FROM events")
 def f_json1(spark, d):
-    get = lambda k: F.get_json_object("props", f"$.{k}")
-    return table(spark, d, "events").select("event_id", F.coalesce(get("episode_id"), get("id"), F.col("event_id").cast("string")).alias("id"))
+    return table(spark, d, "events").select("event_id", F.coalesce(P.metadata_value(F.col("props"), "episode_id", "id"), F.col("event_id").cast("string")).alias("id"))
 
 
 @query("s16_formats", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'npz' WHEN 1 THEN 'container' WHEN 2 THEN 'parquet' ELSE 'unknown' END AS format FROM pages")
@@ -486,21 +491,18 @@ def s16(spark, d):
 
 @query("s11_lane_getter", f"WITH {OM} SELECT episode_id, t, round(omen, 7) AS value FROM om WHERE t >= 1")
 def s11(spark, d):
-    rows = predicted_steps(spark, d)
-    long = rows.select("episode_id", "t", F.explode(F.array(F.struct(F.lit("signal").alias("lane"), F.lit("x").alias("channel"), F.lit("").alias("model_id"), F.col("x").alias("value")), F.struct(F.lit("omen").alias("lane"), F.lit("x").alias("channel"), F.lit("ma3").alias("model_id"), F.col("omen").alias("value")))).alias("s")).select("episode_id", "t", "s.*")
-    return long.where("lane = 'omen' and model_id = 'ma3' and t >= 1").select("episode_id", "t", F.round("value", 7).alias("value"))
+    return P.lane_steps(_lanes(spark, d), "omen", "x", "ma3").where("t >= 1").select("episode_id", "t", F.round("value", 7).alias("value"))
 
 
 @query("p03_r02_latent_action", f"WITH {EV} SELECT episode_id, t, 'omen/latent_action_codebook/genie' AS name, (event_id % 256)::INT AS code FROM ev")
 def p03(spark, d):
-    steps = event_steps(spark, d)
-    lanes = steps.select("episode_id", "t", F.lit("omen").alias("lane"), F.lit("latent_action_codebook").alias("channel"), F.lit("genie").alias("model_id"), (F.col("event_id") % 256).cast("int").alias("code"))
-    return lanes.select("episode_id", "t", N.block_name("omen", F.col("channel"), F.col("model_id")).alias("name"), "code")
+    steps = event_steps(spark, d).withColumn("code", (F.col("event_id") % 256).cast("int"))
+    return P.latent_actions(steps, "code", "genie")
 
 
 @query("o01_o06_sorted_names", f"WITH {BL} SELECT DISTINCT name FROM bl ORDER BY name LIMIT 20")
 def o01(spark, d):
-    return blocks(spark, d).select("name").distinct().orderBy("name").limit(20)
+    return P.sorted_names(blocks(spark, d), 20)
 
 
 @query("t08_time_windows", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -515,47 +517,56 @@ def t10(spark, d):
 
 
 def _containers(spark, d, codec="zstd"):
+    """A folder of written container files, one for each episode."""
     from ..sources.container import pack_episodes
+    from ..sources.files import scratch_folder, write_files
 
     steps = predicted_steps(spark, d).withColumn("done", F.col("terminated").cast("int"))
-    return pack_episodes(steps, {"signal/x": ("x", "f64"), "omen/x/ma3": ("omen", "f64"), "reward": ("x", "f64"), "done": ("done", "u8")}, codec=codec)
+    files = pack_episodes(steps, {"signal/x": ("x", "f64"), "omen/x/ma3": ("omen", "f64"), "reward": ("x", "f64"), "done": ("done", "u8")}, codec=codec)
+    folder = scratch_folder(spark, "containers")
+    write_files(files, folder)
+    return folder
+
+
+def _file():
+    return F.substring_index("file", "/", -1).alias("file")
 
 
 @query("s01_k01_container_round_trip", f"WITH {OM} SELECT episode_id || '.bin' AS file, t, 'omen/x/ma3' AS name, round(omen, 9) AS value FROM om UNION ALL SELECT episode_id || '.bin', t, 'signal/x', round(x, 9) FROM om UNION ALL SELECT episode_id || '.bin', t, 'done', terminated::INT::DOUBLE FROM om")
 def s01(spark, d):
-    from ..sources.container import decode_steps, parse_blocks
+    from ..sources.container import decode_steps, read_blocks
 
-    blocks_ = parse_blocks(_containers(spark, d)).where("name <> 'reward'")
-    return decode_steps(blocks_).select("file", "t", "name", F.round(F.get("value", F.lit(0)), 9).alias("value"))
+    blocks_ = read_blocks(spark, _containers(spark, d)).where("name <> 'reward'")
+    return decode_steps(blocks_).select(_file(), "t", "name", F.round(F.get("value", F.lit(0)), 9).alias("value"))
 
 
 @query("s02_projected_load", f"WITH {EV} SELECT episode_id || '.bin' AS file, t, round(x, 9) AS value FROM ev")
 def s02(spark, d):
-    from ..sources.container import decode_steps, parse_blocks
+    from ..sources.container import decode_steps, read_blocks
 
-    some = parse_blocks(_containers(spark, d, "lz4"), names=["meta/channels", "signal/x"])
-    return decode_steps(some).select("file", "t", F.round(F.get("value", F.lit(0)), 9).alias("value"))
+    some = read_blocks(spark, _containers(spark, d), names=["meta/channels", "signal/x"])
+    return decode_steps(some).select(_file(), "t", F.round(F.get("value", F.lit(0)), 9).alias("value"))
 
 
 @query("s05_s22_container_catalog", f"WITH {EV}, n AS (SELECT episode_id || '.bin' AS file, count(*) AS n FROM ev GROUP BY 1) SELECT file, 'signal/x' AS name, n * 8 AS orig_size FROM n UNION ALL SELECT file, 'omen/x/ma3', n * 8 FROM n UNION ALL SELECT file, 'done', n FROM n UNION ALL SELECT file, 'time/ticks', n * 4 FROM n")
 def s05(spark, d):
-    from ..sources.container import parse_blocks
+    from ..sources.container import read_blocks
 
-    return parse_blocks(_containers(spark, d), payload=False, verify=False).where("lane <> 'meta' and name <> 'reward'").select("file", "name", "orig_size")
+    return read_blocks(spark, _containers(spark, d), payload=False, verify=False).where("lane <> 'meta' and name <> 'reward'").select(_file(), "name", "orig_size")
 
 
 @query("s07_prefix_read", f"WITH {EV} SELECT DISTINCT episode_id || '.bin' AS file, 16 AS n FROM ev")
 def s07(spark, d):
-    from ..sources.container import parse_blocks
+    from ..sources.container import read_blocks
 
-    return parse_blocks(_containers(spark, d), names=["signal/x"], first_bytes=16).select("file", F.octet_length("payload").alias("n"))
+    return read_blocks(spark, _containers(spark, d), names=["signal/x"], first_bytes=16).select(_file(), F.octet_length("payload").alias("n"))
 
 
 @query("a10_v06_v07_verify", f"WITH {EV} SELECT episode_id || '.bin' AS file, 7 AS checked, 0 AS failures, 0 AS hash_failures FROM ev GROUP BY 1")
 def a10(spark, d):
-    from ..sources.container import parse_blocks, verify_blocks
+    from ..sources.container import read_blocks, verify_blocks
 
-    return verify_blocks(parse_blocks(_containers(spark, d), payload=False))
+    return verify_blocks(read_blocks(spark, _containers(spark, d), payload=False)).withColumn("file", _file())
 
 
 @query("f_arr1_f_arr2_tensor_bytes", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS s, len(embedding) * 4 AS n_bytes FROM embeddings")
@@ -590,7 +601,7 @@ def f_str10(spark, d):
 @query("f_dt2_timebase", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 60.0::DOUBLE END, CASE WHEN event_id % 2 = 0 THEN 20.0::DOUBLE END, 30.0::DOUBLE) AS tick_hz FROM events")
 def f_dt2(spark, d):
     own, file = F.when(F.col("event_id") % 3 == 0, 60.0), F.when(F.col("event_id") % 2 == 0, 20.0)
-    return table(spark, d, "events").select("event_id", F.coalesce(own, file, F.lit(30.0)).alias("tick_hz"))
+    return table(spark, d, "events").select("event_id", P.tick_rate(own, file).alias("tick_hz"))
 
 
 @query("j09_name_map", f"WITH {TENSORS}, u AS (SELECT DISTINCT name FROM tn), m AS (SELECT name AS canon, 'src.' || name AS source FROM u WHERE name LIKE 'layers%'), x AS (SELECT name FROM u UNION ALL SELECT source FROM m) SELECT x.name, a.source AS source_name, b.canon AS canon_name FROM x LEFT JOIN m a ON a.canon = x.name LEFT JOIN m b ON b.source = x.name")
@@ -627,14 +638,137 @@ def f_json3(spark, d):
 
 @query("s15_k07_npz_round_trip", f"WITH {EV} SELECT episode_id || '' AS episode_id, t, round(x, 9) AS reward, coalesce(lag(terminated OR truncated) OVER w, true) AS is_first, terminated OR truncated OR lead(1) OVER w IS NULL AS is_last FROM ev WINDOW w AS (PARTITION BY episode_id ORDER BY t)")
 def s15(spark, d):
-    from ..sources.npz import pack_npz, parse_npz
+    from ..sources.files import scratch_folder, write_files
+    from ..sources.npz import pack_npz, read_npz
 
-    packed = pack_npz(event_steps(spark, d), {"reward": "x"})
-    return parse_npz(packed).where("lane = 'reward'").select("episode_id", "t", F.round(F.get("value", F.lit(0)), 9).alias("reward"), "is_first", "is_last")
+    folder = scratch_folder(spark, "replay")
+    write_files(pack_npz(event_steps(spark, d), {"reward": "x"}), folder)
+    return read_npz(spark, folder).where("lane = 'reward'").select("episode_id", "t", F.round(F.get("value", F.lit(0)), 9).alias("reward"), "is_first", "is_last")
 
 
 @query("cli1_inspect", f"WITH {EV} SELECT episode_id || '.bin' AS file, 5 AS n_blocks, sum(8 * 3 + 1 + 4)::BIGINT AS orig_size FROM ev GROUP BY episode_id")
 def cli1(spark, d):
-    from ..sources.container import inspect, parse_blocks
+    from ..sources.container import inspect, read_blocks
+
+    return inspect(read_blocks(spark, _containers(spark, d), payload=False, verify=False).where("lane <> 'meta'")).select(_file(), "n_blocks", "orig_size")
+
+
+def _converted(spark, d, *formats):
+    """Steps of two lanes saved as the first format and converted to each next one; the last one's folder."""
+    from ..sources import dispatch
+    from ..sources.files import scratch_folder
+
+    rows = _lanes(spark, d).where("lane = 'signal'").select(F.col("episode_id").cast("string").alias("episode_id"), "lane", "channel", "t", F.array("value").alias("value"))
+    folder = scratch_folder(spark, formats[0])
+    dispatch.save(rows, folder, formats[0])
+    for to in formats[1:]:
+        target = scratch_folder(spark, to)
+        dispatch.convert(spark, folder, target, to)
+        folder = target
+    return folder
+
+
+@query("s17_k08_convert", f"WITH {EV} SELECT episode_id::VARCHAR AS episode_id, 'signal' AS lane, 'x' AS channel, t, round(x, 9) AS value FROM ev")
+def s17(spark, d):
+    from ..sources import dispatch
+
+    rows = dispatch.load(spark, _converted(spark, d, "parquet", "container"))
+    return rows.select("episode_id", "lane", "channel", "t", F.round(F.get("value", F.lit(0)), 9).alias("value"))
+
+
+@query("cli3_cli4_convert_export", f"WITH {EV} SELECT episode_id::VARCHAR AS episode_id, t, round(x, 9) AS value FROM ev")
+def cli34(spark, d):
+    from ..__main__ import main
+    from ..sources import dispatch
+    from ..sources.files import scratch_folder
+
+    folder, target, exported = _converted(spark, d, "parquet"), scratch_folder(spark, "cli"), scratch_folder(spark, "export")
+    if main(["convert", folder, target, "--to", "container"]) or main(["export", target, exported]):
+        raise ValueError("the command line failed")
+    return dispatch.load(spark, exported, "parquet").select("episode_id", "t", F.round(F.get("value", F.lit(0)), 9).alias("value"))
+
+
+@query("f_math4_checked_int", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey::INT END AS narrow, o_orderkey::BIGINT AS wide FROM orders")
+def f_math4(spark, d):
+    key = F.col("o_orderkey").cast("decimal(20,0)")
+    large = key + F.when(F.col("o_orderkey") % 3 == 0, F.lit(1 << 33)).otherwise(0)
+    return table(spark, d, "orders").select("o_orderkey", P.checked_int(large.cast("decimal(20,0)")).alias("narrow"), P.checked_int(key, 64).alias("wide"))
+
+
+@query("x03_map_chunks", f"WITH {EV} SELECT episode_id, t // 64 AS chunk_index, count(*) AS n, round(sum(x), 4) AS total FROM ev GROUP BY ALL")
+def x03(spark, d):
+    def total(key, frame):
+        import pandas as pd
+
+        return pd.DataFrame({"episode_id": [key[0]], "chunk_index": [key[1]], "n": [len(frame)], "total": [float(frame["x"].sum())]})
+
+    return K.map_chunks(event_steps(spark, d).select("episode_id", "t", "x"), 64, total, "episode_id bigint, chunk_index bigint, n bigint, total double").withColumn("total", F.round("total", 4))
+
+
+@query("p11_r07_entries", f"WITH {BL}, n AS (SELECT DISTINCT 'signal/c' || (user_id % 9) || '/click' AS name FROM events), g AS (SELECT name, count(*) AS n_entries, arg_min(orig_size, entry_idx) AS size FROM bl GROUP BY 1) SELECT name, coalesce(n_entries, 0) AS n_entries, size, n_entries IS NOT NULL AS has FROM n LEFT JOIN g USING (name)")
+def p11(spark, d):
+    names = table(spark, d, "events").select(F.concat(F.lit("signal/c"), (F.col("user_id") % 9).cast("string"), F.lit("/click")).alias("name")).distinct()
+    return P.has_entry(blocks(spark, d), names)
+
+
+@query("r07_entry_flags", f"WITH {BL} SELECT entry_idx, flags & 1 <> 0 AS compressed, flags & 8 <> 0 AS chunked FROM bl")
+def r07(spark, d):
+    return blocks(spark, d).select("entry_idx", P.is_compressed(F.col("flags")).alias("compressed"), P.is_chunked(F.col("flags")).alias("chunked"))
+
+
+@query("p11_channel_definitions", f"WITH {EV} SELECT DISTINCT episode_id || '.bin' AS file, unnest(['x', 'x/ma3']) AS id, 'f64' AS dtype, 1 AS width, NULL::VARCHAR AS modality, unnest(['signal/x', 'omen/x/ma3']) AS signal_block FROM ev")
+def p11b(spark, d):
+    from ..sources.container import read_blocks
+
+    texts = read_blocks(spark, _containers(spark, d), names=["meta/channels"]).select(_file(), F.col("payload").cast("string").alias("metadata"))
+    return P.channel_definitions(texts).select("file", "id", "dtype", F.get("shape", F.lit(0)).alias("width"), "modality", "signal_block")
+
+
+@query("r01_add_observation", f"WITH {EV} SELECT episode_id, 'signal' AS lane, 'x' AS channel, t, round(x, 7) AS value FROM ev UNION ALL SELECT episode_id, 'signal', 'arm/depth', t, t * 1.0::DOUBLE FROM ev")
+def r01(spark, d):
+    steps = P.lane_steps(_lanes(spark, d), "signal")
+    more = steps.select("episode_id", "t", F.col("t").cast("double").alias("value"))
+    return P.add_observation(steps, more, "arm", "depth").select("episode_id", "lane", "channel", "t", F.round("value", 7).alias("value"))
+
+
+@query("schema_registry", f"WITH {TENSORS}, e AS (SELECT name, CASE WHEN name LIKE 'layers.%' THEN 'layers' WHEN name LIKE 'blocks.%' THEN 'blocks' END AS spec FROM tn) SELECT name, spec, count(*) AS n FROM e GROUP BY ALL")
+def schema_registry(spark, d):
+    schema = S.Schema("test").tensor("layers.**").tensor("blocks.**", shape=[-1, 4])
+    again = S.Schema.decode(schema.encode())
+    label = F.when(F.col("spec") == 0, "layers").when(F.col("spec") == 1, "blocks")
+    return C.match_specs(_tensors(spark, d), again.rules()).groupBy("name", label.alias("spec")).agg(F.count("*").alias("n"))
+
+
+@query("quantised_tensors", "SELECT p_partkey::VARCHAR AS tensor, 'int4' AS scheme, p_size AS group_size, 'f16' AS orig_dtype, unnest(['scale', 'zero']) AS role, unnest(['s' || p_partkey, 'z' || p_partkey]) AS aux_tensor, unnest([true, p_partkey % 2 = 0]) AS present FROM part")
+def quantised(spark, d):
+    key = F.col("p_partkey").cast("string")
+    parts = table(spark, d, "part")
+    aux = F.array(F.struct(F.lit("scale").alias("role"), F.concat(F.lit("s"), key).alias("name")), F.struct(F.lit("zero").alias("role"), F.concat(F.lit("z"), key).alias("name")))
+    records = parts.select(key.alias("tensor"), F.lit("int4").alias("scheme"), F.col("p_size").alias("group_size"), F.lit("f16").alias("orig_dtype"), aux.alias("aux"))
+    there = parts.select(F.explode(F.array(F.concat(F.lit("s"), key), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("z"), key)))).alias("name")).where("name is not null")
+    return S.quantised_tensors(records, there)
+
+
+@query("t01_t06_record_containers", f"WITH {EV} SELECT episode_id::VARCHAR AS episode_id, channel, t, round(v, 9) AS value FROM (SELECT episode_id, 'signal' AS lane, 'x' AS channel, t, x AS v FROM ev UNION ALL SELECT episode_id, 'reward', 'reward', t, x FROM ev UNION ALL SELECT episode_id, 'done', 'done', t, (t = max(t) OVER (PARTITION BY episode_id))::INT FROM ev) WHERE episode_id % 10 <> 3")
+def t01(spark, d):
+    """Events recorded from a stream of files to containers; every tenth episode is aborted."""
+    from pyspark.sql import Window
 
-    return inspect(parse_blocks(_containers(spark, d), payload=False, verify=False).where("lane <> 'meta'")).select("file", "n_blocks", "orig_size")
+    from ..sources import dispatch
+    from ..sources.files import scratch_folder
+    from ..streaming import recorder as T
+
+    source, out, check = (scratch_folder(spark, x) for x in ("steps", "recorded", "stream"))
+    steps = event_steps(spark, d).withColumn("end", F.col("t") == F.max("t").over(Window.partitionBy("episode_id")))
+    aborted = F.col("end") & (F.col("episode_id") % 10 == 3)
+    rows = steps.select(F.col("episode_id").cast("string").alias("episode_id"), "t", F.when(aborted, T.ABORT).otherwise("x").alias("channel"), F.array("x").alias("value"), F.col("x").alias("reward"), (F.col("end") & ~aborted).alias("done"), F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(source)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        good, _ = T.split_valid(T.read_steps(spark, source), {"x": 1})
+        T.write_containers(T.record(good), out, check).awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return dispatch.load(spark, out).select("episode_id", "channel", "t", F.round(F.get("value", F.lit(0)), 9).alias("value"))

@@ -225,6 +225,68 @@ def test_metadata_and_command_line(spark, tmp_path, capsys):
     assert main(["verify", str(tmp_path)]) == 1 and "cut short" in capsys.readouterr().out
 
 
+def test_reads_by_place(spark, tmp_path):
+    from episodeflow.sources.files import Memory, opened
+
+    blocks = {"signal/a": os.urandom(200_000), "signal/b": b"\1\2" * 100_000, "signal/c": b"x" * 10}
+    for codec in ("none", "zstd", "lz4"):
+        data = C.write_container(blocks, codec)
+        fetched = []
+
+        class Counted(Memory):
+            def read(self, at, n):
+                fetched.append(n)
+                return super().read(at, n)
+
+        head, entries = C.read_entries(Counted(data))
+        assert sum(fetched) < 500
+        for e in entries:
+            fetched.clear()
+            assert C.read_prefix(Counted(data), e, 12) == blocks[e["name"]][:12]
+            assert sum(fetched) <= (10_000 if codec != "lz4" else e["disk"])
+        (tmp_path / f"{codec}.bin").write_bytes(data)
+        with opened(f"file:{tmp_path}/{codec}.bin", len(data)) as f:
+            assert C.read_block(f, C.read_entries(f)[1][2]) == (blocks["signal/c"], True)
+    (tmp_path / "a b%é.bin").write_bytes(data)
+    read = lambda **o: {(r.file.rsplit("/", 1)[1], r.name): bytes(r.payload) for r in C.read_blocks(spark, str(tmp_path), **o).collect()}
+    assert read() == read(access="whole") and len(read(names=["signal/c"])) == 4
+    assert set(read(first_bytes=5, names=["signal/b"]).values()) == {b"\1\2\1\2\1"}
+
+
+def test_convert_and_command_line(spark, tmp_path, capsys):
+    from episodeflow.__main__ import main
+    from episodeflow.sources import dispatch
+
+    rows = [(e, lane, ch, t, [float(t)] * w) for e in ("a", "b") for lane, ch, w in (("signal", "arm/pos", 3), ("action", "u", 2), ("reward", "reward", 1)) for t in range(4)]
+    steps = spark.createDataFrame(rows, "episode_id string, lane string, channel string, t bigint, value array<double>")
+    at = lambda n: str(tmp_path / n)
+    dispatch.save(steps, at("p"), "parquet")
+    read = lambda path, f=None: {(r.episode_id, r.lane, r.channel, r.t, tuple(r.value)) for r in dispatch.load(spark, path, f).collect()}
+    want = {(*r[:4], tuple(r[4])) for r in rows}
+    assert main(["convert", at("p"), at("c")]) == 0 and read(at("c")) == want
+    assert main(["export", at("c"), at("e")]) == 0 and read(at("e")) == want
+    assert main(["convert", at("c"), at("x"), "--to", "hdf5"]) == 2 and main(["convert", at("nowhere"), at("x")]) == 1
+    assert main(["convert", at("c"), at("x"), "--format", "npz"]) == 1
+    flat = steps.where("lane <> 'action'").withColumn("channel", F.regexp_replace("channel", "arm/pos", "state"))
+    dispatch.save(flat, at("n"), "npz")
+    assert {(c, t, v) for _, _, c, t, v in read(at("n"))} == {("state", t, (float(t),) * 3) for t in range(4)} | {("reward", t, (float(t),)) for t in range(4)}
+    for name in dispatch.UNSUPPORTED:
+        with pytest.raises(NotImplementedError):
+            dispatch.load(spark, at("c"), name)
+
+
+def test_schemas():
+    from episodeflow.operators.schema import Schema, language_model
+
+    schema = language_model("m", 8, 2)
+    assert Schema.decode(schema.encode()) == schema and len(schema.specs) == 2 + 2 * 9 + 1
+    for wrong in (b"{}", b"x", b'{"name":"a","version":1,"tensors":[{"pattern":""}]}'):
+        with pytest.raises(ValueError):
+            Schema.decode(wrong)
+    with pytest.raises(ValueError):
+        schema.tensor("a", "f99")
+
+
 def test_segments_and_tensors():
     parts = [b"", b"ab", b"x" * 300]
     assert B.unpack_segments(B.pack_segments(parts)) == parts
@@ -272,6 +334,25 @@ def test_recording_stream(spark, tmp_path):
     assert set(got) == {"a", "c"} and got["a"].ts == [0, 1, 2] and got["a"].total_reward == 3.0 and (got["c"].status, got["c"].length, got["c"].ts) == ("too_long", 10, [])
 
 
+def test_recording_to_containers_with_aborts(spark, tmp_path):
+    from episodeflow.sources import dispatch
+    from episodeflow.streaming import recorder as S
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    step = lambda e, t, ch="x", done=False: (e, t, ch, [float(t)], 1.0, done, None)
+    batches = [[step("a", 0), step("a", 1), step("b", 0)], [step("b", 1, S.ABORT), step("a", 2, "x", True)], [step("b", 5), step("b", 6, "x", True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, S.STEP).write.mode("append").parquet(source)
+        good, _ = S.split_valid(S.read_steps(spark, source), {"x": 1})
+        S.write_containers(S.record(good, flush_steps=1), out, check).awaitTermination()
+        assert not os.path.isdir(out) or not [f for f in os.listdir(out) if not f.endswith(".bin")]
+    got = collections.defaultdict(list)
+    for r in sorted(dispatch.load(spark, out).where("channel = 'x'").collect(), key=lambda r: r.t):
+        got[r.episode_id].append(r.value[0])
+    assert got == {"a": [0.0, 1.0, 2.0], "b": [5.0, 6.0]}
+
+
 def test_windows_and_sessions_of_a_stream(spark, tmp_path):
     from datetime import datetime, timedelta
 
