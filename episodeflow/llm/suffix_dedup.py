@@ -9,27 +9,29 @@ depends on the string's bytes alone, so equal strings have it at the same place
 and no match is lost. Neighbouring strings mostly share their anchor: an anchor
 stands for the run of string starts whose strings have it.
 
-The index is a family of levels. A batch of documents becomes a level of its own:
-the fingerprints at its anchors, each with its count. Two levels of one size are
-merged into one of twice the size by union and sum, as often as there are two, so
-a fingerprint is rewritten a logarithmic number of times. Counts over one tell the
-anchors that have a partner. These are hash aggregates: no suffix array is built,
-nothing is ordered and no merge scan runs, as what is asked is which suffixes
-begin alike, not which is smaller.
-
-What a partner shares is then settled by ever smaller groups of string starts.
-For a group, the bytes common to all its strings (core) and the bytes of all of
-them together (span) are compared by fingerprint: two places with one span have
-all strings in common, a core without a partner has none, and groups of other
-places are cut into smaller ones. The groups are the run of starts of an anchor,
-then ``STARTS`` of them, then single ones; only the borders of matches come to
-the last. Each comparison is an aggregate by key with partial sums, so a passage
-that a third of all documents share is one row for each partition, and no group
-is collected anywhere.
-
-Fingerprints have 64 bits; two of them (core and span) must agree by chance for
-an error in the first two steps. Bytes never leave their row but for the
-surroundings of anchors that have partners with other surroundings.
+The index is a family of levels. A batch of documents becomes a sparse suffix array
+of its own: the ``GRAM`` bytes at its anchors in byte order, each once with its
+count, dealt to buckets by hash, so that a bucket is an array in order. Arrays are
+bucketed, sorted tables: two of them are scanned side by side, without a shuffle,
+which finds the suffixes that they share. Two levels of one size are merged by such
+a scan into one of twice the size, as often as there are two, so a suffix is
+rewritten a logarithmic number of times; the levels that are left are scanned
+together. Bytes are compared whole here. Suffixes that occur once go no further.
+
+What a partner shares is then settled by ever smaller groups of string starts. For
+a group, the bytes common to all its strings (core) and the bytes of all of them
+together (span) are compared by fingerprints: two places with one span have all
+strings in common, a core without a partner has none, and groups of other places
+are cut into smaller ones. The groups are the run of starts of an anchor, then
+``STARTS`` of them, then single ones; only the borders of matches come to the last.
+Each comparison is an aggregate by key with partial sums, and what it finds goes
+back to the places by joins whose keys are dealt to ``SALTS`` tasks each, so a
+passage that a third of all documents share is no single task's work.
+
+Two places are taken as equal only if two independent fingerprints agree, of 64
+bits each, or one of 96 bits for single strings. Bytes never leave their row but for
+the grams, and the surroundings of anchors that have partners with other
+surroundings.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are kept
 whole; a repeated row is a copy like any other, so both lose all strings of
@@ -42,10 +44,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, discard, materialise, read_table, with_row_id
+from .common import add_columns, delete_path, discard, materialise, read_table, scratch_path, slices, with_row_id
 
 GRAM = 32
 STARTS = 10
+SALTS = 8
+#: Sampled suffixes of a batch, and the least number of batches.
+BATCH_SUFFIXES, LEAST_BATCHES = 1_000_000_000, 5
 GROUP_BYTES = 1_000_000
 
 
@@ -108,7 +113,7 @@ def string_anchors(prints: Fingerprints, low: int, high: int, length: int):
 
 
 def text_anchors(text: bytes, length: int):
-    """(anchor, first, last, fingerprint at it, fingerprint of its strings) of a text.
+    """(anchor, first, last, fingerprint of its strings) of a text.
 
     Long texts are worked off in pieces, each with the strings that start in it;
     a run of starts may be cut there, which settles it as two runs.
@@ -121,7 +126,7 @@ def text_anchors(text: bytes, length: int):
         data = np.frombuffer(text, np.uint8, min(n, low + GROUP_BYTES + length - 1) - low, low)
         prints = Fingerprints(data)
         at, first, last = string_anchors(prints, 0, len(data), length)
-        out.append((at + low, first + low, last + low, prints.of(at, at + GRAM), prints.of(first, last + length, (at - first) * 512 + (last - first))))
+        out.append((at + low, first + low, last + low, prints.of(first, last + length, (at - first) * 512 + (last - first))))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -132,63 +137,102 @@ def _batch(columns, names):
 
 
 def sampled_suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(row, pos, first, last, core, span) of all anchors of the texts (row, text)."""
-    names = ["row", "pos", "first", "last", "core", "span"]
+    """(row, pos, first, last, span, gram) of all anchors of the texts (row, text)."""
+    names = ["row", "pos", "first", "last", "span", "gram"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            held, size = [[] for _ in names], 0
+        def batch_of(held):
+            *numbers, grams = held
+            sizes = np.arange(len(grams) // GRAM + 1, dtype=np.int32) * GRAM
+            gram = pa.Array.from_buffers(pa.binary(), len(sizes) - 1, [None, pa.py_buffer(sizes), pa.py_buffer(bytes(grams))])
+            return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in numbers], gram], names=names)
+
+        for batch in slices(batches):
+            held, size = [[], [], [], [], [], bytearray()], 0
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
                 if text is None or len(text) < length:
                     continue
-                at, first, last, core, span = text_anchors(text, length)
-                for column, v in zip(held, (np.full(len(at), row), at.astype("i4"), first.astype("i4"), last.astype("i4"), core.view(np.int64), span.view(np.int64)), strict=True):
+                at, first, last, span = text_anchors(text, length)
+                for column, v in zip(held, (np.full(len(at), row), at.astype("i4"), first.astype("i4"), last.astype("i4"), span.view(np.int64)), strict=False):
                     column.append(v)
+                data = np.frombuffer(text, np.uint8)
+                for i in range(0, len(at), 100_000):
+                    held[5] += data[at[i : i + 100_000, None] + np.arange(GRAM)].tobytes()
                 size += len(at)
-                if size > 500_000:
-                    yield _batch(map(np.concatenate, held), names)
-                    held, size = [[] for _ in names], 0
+                if size > 200_000:
+                    yield batch_of(held)
+                    held, size = [[], [], [], [], [], bytearray()], 0
             if size:
-                yield _batch(map(np.concatenate, held), names)
+                yield batch_of(held)
 
-    return texts.mapInArrow(run, "row bigint, pos int, first int, last int, core bigint, span bigint")
+    return texts.mapInArrow(run, "row bigint, pos int, first int, last int, span bigint, gram binary")
 
 
 class IndexFamily:
     """Levels of an index of sampled suffixes; see the module's text.
 
-    A level is a written table (core, n) with one entry for each fingerprint,
-    and a level of rank r holds 2**r batches.
+    A level of rank r holds the suffixes of 2**r batches: a table (gram, n) of
+    distinct grams in buckets, in order.
     """
 
-    def __init__(self):
-        self.levels: dict[int, DataFrame] = {}
+    def __init__(self, spark):
+        self.spark = spark
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, str] = {}
+        self.paths: dict[str, str] = {}
+
+    def _written(self, level: DataFrame, label: str) -> str:
+        """The name of a bucketed, sorted table in the shared folder."""
+        path = scratch_path(self.spark, label)
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        level.select("gram", "n").write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        delete_path(self.spark, self.paths.pop(name))
+
+    def _scanned(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two arrays side by side: all suffixes of either, in order, with their counts added."""
+        both = a.withColumnRenamed("n", "n_a").hint("merge").join(b.withColumnRenamed("n", "n_b"), "gram", "full_outer")
+        return both.select("gram", (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"))
 
     def add(self, suffixes: DataFrame) -> None:
-        """Add a batch (core); levels of one rank are merged."""
-        level = suffixes.groupBy("core").agg(F.count("*").alias("n"))
-        rank, merged = 0, []
+        """Add a batch (gram); levels of one rank are merged."""
+        rank = 0
+        new = self._written(suffixes.groupBy("gram").agg(F.count("*").alias("n")), "level0")
         while rank in self.levels:
-            merged.append(self.levels.pop(rank))
-            level = self._merged(merged[-1], level)
+            old = self.levels.pop(rank)
             rank += 1
-        self.levels[rank] = materialise(level, f"level{rank}")
-        discard(*merged)
-
-    @staticmethod
-    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.unionByName(b).groupBy("core").agg(F.sum("n").alias("n"))
+            merged = self._written(self._scanned(self.spark.table(old), self.spark.table(new)), f"level{rank}")
+            self._drop(old)
+            self._drop(new)
+            new = merged
+        self.levels[rank] = new
 
     def repeated(self) -> DataFrame:
-        """The fingerprints that stand in two places or more, over all levels."""
-        levels = list(self.levels.values())
-        level = levels[0]
-        for other in levels[1:]:
-            level = self._merged(level, other)
-        return level.where("n > 1").select("core")
+        """(gram): the suffixes that stand in two places or more, over all levels."""
+        level = None
+        for rank in sorted(self.levels):  # the small ones first
+            other = self.spark.table(self.levels[rank])
+            level = other if level is None else self._scanned(level, other)
+        return level.where("n > 1").select("gram")
+
+    def drop(self) -> None:
+        for name in self.levels.values():
+            self._drop(name)
+        self.levels = {}
+
+
+def _salted(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """The rows of ``many`` that have a key of ``few``; a key's rows are dealt to ``SALTS`` tasks by ``spread``."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    every = few.select(*keys, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt"))
+    return many.withColumn("_salt", salt).join(every, [*keys, "_salt"], "left_semi").drop("_salt")
 
 
 def settle(places: DataFrame, *place: str) -> tuple[DataFrame, DataFrame]:
@@ -200,22 +244,30 @@ def settle(places: DataFrame, *place: str) -> tuple[DataFrame, DataFrame]:
     """
     spans = materialise(places.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")), "spans")
     cores = spans.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-    full = places.join(spans.where("n > 1").select("core", "span"), ["core", "span"], "left_semi").select(*place)
-    open_ = spans.join(cores, "core", "left_semi").select("first.*")
+    full = _salted(places, spans.where("n > 1"), ["core", "span"], list(place)).select(*place)
+    open_ = _salted(spans, cores, ["core"], ["span"]).select("first.*")
     return full, open_
 
 
-def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> DataFrame:
+def repeated_ranges(texts: DataFrame, length: int = 200, batches: int | None = None) -> DataFrame:
     """(row, start, end) of ranges whose union is what repeated strings of ``length`` cover.
 
-    ``texts`` has row (a unique number) and text, and is read several times.
+    ``texts`` has row (a unique number) and text, and is read several times. Unless
+    stated, the number of batches follows that of sampled suffixes.
     """
     suffixes = materialise(sampled_suffixes(texts, length), "suffixes")
-    family = IndexFamily()
-    for b in range(batches):
-        family.add(suffixes.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == b).select("core"))
-    shared = materialise(suffixes.join(family.repeated(), "core", "left_semi"), "shared")
-    discard(suffixes, *family.levels.values())
+    batches = batches or max(LEAST_BATCHES, -(-suffixes.count() // BATCH_SUFFIXES))
+    # a batch is a range of rows, which lie together in the written table
+    borders = sorted({int(x) for x in texts.approxQuantile("row", [i / batches for i in range(1, batches)], 0.01)})
+    family = IndexFamily(texts.sparkSession)
+    for low, high in zip([None, *borders], [*borders, None], strict=True):
+        batch = suffixes if low is None else suffixes.where(F.col("row") >= low)
+        family.add((batch if high is None else batch.where(F.col("row") < high)).select("gram"))
+    repeated = family.repeated().select(F.xxhash64("gram").alias("core")).distinct()
+    places = suffixes.withColumn("core", F.xxhash64("gram")).drop("gram")
+    shared = materialise(_salted(places, repeated, ["core"], ["row", "pos"]), "shared")
+    discard(suffixes)
+    family.drop()
 
     full, open_ = settle(shared, "row", "pos", "first", "last")
     near = open_.groupBy("row").agg(F.collect_list(F.struct("pos", "first", "last")).alias("at"))
@@ -235,6 +287,10 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
     ranges = materialise(around.mapInArrow(surroundings, "row bigint, pos int, first int, bytes binary"), "ranges")
+    def hashed(digest, data, start, end, salt):
+        """Digests of ranges of bytes, each seeded with its salt."""
+        return [digest(data[a:b], c) for a, b, c in zip(start.tolist(), end.tolist(), salt.tolist(), strict=True)]
+
     reach = length - GRAM  # the most bytes from a string's start to its anchor
 
     def laid_out(batch):
@@ -246,25 +302,27 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> Da
         begin = np.r_[0, np.cumsum(sizes)[:-1]]
         row, pos, first = (batch.column(c).to_numpy().astype(np.int64) for c in ("row", "pos", "first"))
         low = first - (pos - reach)
-        return row, pos, low, low + sizes - length, begin - low, Fingerprints(np.frombuffer(b"".join(data), np.uint8))
+        joined = b"".join(data)
+        return row, pos, low, low + sizes - length, begin - low, Fingerprints(np.frombuffer(joined, np.uint8)), joined
 
     def groups(batches_):
         """The groups of string starts of each anchor, with core and span."""
         import numpy as np
+        import xxhash
 
         for batch in batches_:
             if not batch.num_rows:
                 continue
-            row, pos, low, high, base, prints = laid_out(batch)
+            row, pos, low, high, base, prints, joined = laid_out(batch)
             count = high // STARTS - low // STARTS + 1
             i = np.repeat(np.arange(len(row)), count)
             part = np.arange(len(i)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) + low[i] // STARTS
             s0, s1 = np.maximum(part * STARTS, low[i]), np.minimum(part * STARTS + STARTS - 1, high[i])
             inner = np.minimum(part * STARTS + STARTS - 1, reach)
             core = prints.of(base[i] + inner, base[i] + part * STARTS + length, part + 1)
-            span = prints.of(base[i] + s0, base[i] + s1 + length, s0 * 256 + s1)
+            span = hashed(xxhash.xxh3_64_intdigest, joined, base[i] + s0, base[i] + s1 + length, s0 * 256 + s1)
             at = pos[i] - reach
-            yield _batch((row[i], pos[i].astype("i4"), (at + s0).astype("i4"), (at + s1).astype("i4"), core.view(np.int64), span.view(np.int64)), ["row", "pos", "first", "last", "core", "span"])
+            yield _batch((row[i], pos[i].astype("i4"), (at + s0).astype("i4"), (at + s1).astype("i4"), core.view(np.int64), np.array(span, np.uint64).view(np.int64)), ["row", "pos", "first", "last", "core", "span"])
 
     parts = materialise(ranges.mapInArrow(groups, "row bigint, pos int, first int, last int, core bigint, span bigint"), "parts")
     full_parts, open_parts = settle(parts, "row", "pos", "first", "last")
@@ -273,11 +331,12 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> Da
     def strings(batches_):
         """The single strings of groups."""
         import numpy as np
+        import xxhash
 
         for batch in batches_:
             if not batch.num_rows:
                 continue
-            row, pos, low, high, base, prints = laid_out(batch)
+            row, pos, low, high, base, _, joined = laid_out(batch)
             wanted = batch.column("wanted")
             i = np.repeat(np.arange(len(row)), wanted.value_lengths().to_numpy())
             a, b = (wanted.flatten().field(k).to_numpy().astype(np.int64) - (pos[i] - reach) for k in (0, 1))
@@ -287,18 +346,20 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int = 2) -> Da
             count = b - a + 1
             j = np.repeat(i, count)
             s = np.arange(len(j)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) + np.repeat(a, count)
-            core = prints.of(base[j] + s, base[j] + s + length, s + 1)
-            yield _batch((row[j], (pos[j] - reach + s).astype("i4"), core.view(np.int64)), ["row", "first", "core"])
+            for k in range(0, len(j), 200_000):
+                part, start = j[k : k + 200_000], s[k : k + 200_000]
+                digest = np.frombuffer(b"".join(hashed(xxhash.xxh3_128_digest, joined, base[part] + start, base[part] + start + length, start)), "<i4").reshape(-1, 4)
+                yield _batch((row[part], (pos[part] - reach + start).astype("i4"), np.ascontiguousarray(digest[:, :2]).view("<i8").ravel(), digest[:, 2]), ["row", "first", "core", "more"])
 
-    single = materialise(ranges.join(wanted, ["row", "pos"]).mapInArrow(strings, "row bigint, first int, core bigint"), "strings")
+    single = materialise(ranges.join(wanted, ["row", "pos"]).mapInArrow(strings, "row bigint, first int, core bigint, more int"), "strings")
     discard(ranges)
-    twice = single.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    found = single.join(twice, "core", "left_semi").select("row", "first", F.col("first").alias("last"))
+    twice = single.groupBy("core", "more").agg(F.count("*").alias("n")).where("n > 1").select("core", "more")
+    found = _salted(single, twice, ["core", "more"], ["row", "first"]).select("row", "first", F.col("first").alias("last"))
     runs = found.unionByName(full.select("row", "first", "last")).unionByName(full_parts.select("row", "first", "last"))
     return runs.select("row", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, batches: int = 2, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, batches: int | None = None, keep_text: bool = True) -> DataFrame:
     """Each row with the bytes of repeated strings removed.
 
     Adds n_bytes, n_removed, n_spans, kept_sha256 and kept (binary: a cut may fall

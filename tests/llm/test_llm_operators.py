@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from episodeflow.llm import ann, bpe, chat, decontaminate, secrets, simhash, suffix_dedup, toxicity, trigrams, url_filter, warc
 from episodeflow.llm.common import scratch_path
@@ -522,10 +523,19 @@ def test_suffix_dedup_edges(odd, empty):
 
 
 def test_index_family_levels(spark):
-    family = suffix_dedup.IndexFamily()
-    for batch in ([1, 2], [2, 3], [3, 4], [5], [5]):
-        family.add(spark.createDataFrame([(x,) for x in batch], "core bigint"))
-    assert sorted(family.levels) == [0, 2] and {r.core for r in family.repeated().collect()} == {2, 3, 5}
+    family = suffix_dedup.IndexFamily(spark)
+    for batch in ("ab", "bc", "cd", "e", "e"):
+        family.add(spark.createDataFrame([(x.encode(),) for x in batch], "gram binary"))
+    assert sorted(family.levels) == [0, 2] and {bytes(r.gram) for r in family.repeated().collect()} == {b"b", b"c", b"e"}
+    scan = family.repeated()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in scan and "Exchange" not in scan  # arrays are scanned side by side
+    tables = list(family.levels.values())
+    arrays = collections.defaultdict(list)
+    for r in spark.table(family.levels[2]).select(F.input_file_name().alias("f"), "gram").collect():
+        arrays[r.f].append(bytes(r.gram))
+    assert all(a == sorted(a) for a in arrays.values()) and sum(map(len, arrays.values())) == 5
+    family.drop()
+    assert not any(spark.catalog.tableExists(t) for t in tables)
 
 
 # --- URL filter ---------------------------------------------------------------------------
