@@ -44,7 +44,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, delete_path, discard, materialise, read_table, scratch_path, slices, with_row_id
+from .common import add_columns, delete_path, discard, freed_shuffles, materialise, read_table, scratch_path, slices, with_row_id
 
 GRAM = 32
 STARTS = 10
@@ -188,7 +188,8 @@ class IndexFamily:
         """The name of a bucketed, sorted table in the shared folder."""
         path = scratch_path(self.spark, label)
         name = path.rsplit("/", 1)[1].replace("-", "_")
-        level.select("gram", "n").write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").option("path", path).saveAsTable(name)
+        with freed_shuffles(self.spark):
+            level.select("gram", "n").write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").option("path", path).saveAsTable(name)
         self.paths[name] = path
         return name
 
@@ -235,18 +236,19 @@ def _salted(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str])
     return many.withColumn("_salt", salt).join(every, [*keys, "_salt"], "left_semi").drop("_salt")
 
 
-def settle(places: DataFrame, *place: str) -> tuple[DataFrame, DataFrame]:
+def settle(places: DataFrame, *place: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split places (core, span and the place's own columns): those whose span
     another place has too, and those to be looked at in smaller groups.
 
     Of the latter are all places that share their core with another span; of
-    places with one span the first stands for all.
+    places with one span the first stands for all. The first are written, the
+    second read the third, a written table.
     """
     spans = materialise(places.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")), "spans")
     cores = spans.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-    full = _salted(places, spans.where("n > 1"), ["core", "span"], list(place)).select(*place)
+    full = materialise(_salted(places, spans.where("n > 1"), ["core", "span"], list(place)).select("row", "first", "last"), "full")
     open_ = _salted(spans, cores, ["core"], ["span"]).select("first.*")
-    return full, open_
+    return full, open_, spans
 
 
 def repeated_ranges(texts: DataFrame, length: int = 200, batches: int | None = None) -> DataFrame:
@@ -269,7 +271,8 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int | None = N
     discard(suffixes)
     family.drop()
 
-    full, open_ = settle(shared, "row", "pos", "first", "last")
+    full, open_, spans = settle(shared, "row", "pos", "first", "last")
+    discard(shared)
     near = open_.groupBy("row").agg(F.collect_list(F.struct("pos", "first", "last")).alias("at"))
     around = texts.join(near.hint("shuffle_hash"), "row").select("row", "text", "at")
 
@@ -287,6 +290,7 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int | None = N
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
     ranges = materialise(around.mapInArrow(surroundings, "row bigint, pos int, first int, bytes binary"), "ranges")
+    discard(spans)
     def hashed(digest, data, start, end, salt):
         """Digests of ranges of bytes, each seeded with its salt."""
         return [digest(data[a:b], c) for a, b, c in zip(start.tolist(), end.tolist(), salt.tolist(), strict=True)]
@@ -325,7 +329,8 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int | None = N
             yield _batch((row[i], pos[i].astype("i4"), (at + s0).astype("i4"), (at + s1).astype("i4"), core.view(np.int64), np.array(span, np.uint64).view(np.int64)), ["row", "pos", "first", "last", "core", "span"])
 
     parts = materialise(ranges.mapInArrow(groups, "row bigint, pos int, first int, last int, core bigint, span bigint"), "parts")
-    full_parts, open_parts = settle(parts, "row", "pos", "first", "last")
+    full_parts, open_parts, spans = settle(parts, "row", "pos", "first", "last")
+    discard(parts)
     wanted = open_parts.groupBy("row", "pos").agg(F.collect_list(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("wanted"))
 
     def strings(batches_):
@@ -352,10 +357,10 @@ def repeated_ranges(texts: DataFrame, length: int = 200, batches: int | None = N
                 yield _batch((row[part], (pos[part] - reach + start).astype("i4"), np.ascontiguousarray(digest[:, :2]).view("<i8").ravel(), digest[:, 2]), ["row", "first", "core", "more"])
 
     single = materialise(ranges.join(wanted, ["row", "pos"]).mapInArrow(strings, "row bigint, first int, core bigint, more int"), "strings")
-    discard(ranges)
+    discard(ranges, spans)
     twice = single.groupBy("core", "more").agg(F.count("*").alias("n")).where("n > 1").select("core", "more")
     found = _salted(single, twice, ["core", "more"], ["row", "first"]).select("row", "first", F.col("first").alias("last"))
-    runs = found.unionByName(full.select("row", "first", "last")).unionByName(full_parts.select("row", "first", "last"))
+    runs = found.unionByName(full).unionByName(full_parts)
     return runs.select("row", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
 
