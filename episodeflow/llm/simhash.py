@@ -441,6 +441,36 @@ def _held(links: DataFrame, docs: DataFrame, similarity: float, shingle_words: i
     return judged.where(F.col("similarity") >= similarity).select("a", "b")
 
 
+#: Nodes of one shingle beyond which its group is cut into pieces.
+PIECE = 2_000
+
+
+def _in_pieces(dealt: DataFrame) -> DataFrame:
+    """Rows (g, row, root, n, at) that meet nodes of other roots, with the pieces they meet in.
+
+    Groups of one root are counted, not moved. A group of more than ``PIECE`` rows
+    is cut into blocks, those of its most frequent root apart from the others', and
+    any two blocks make a piece, unless both are of that root. In a piece of one
+    block ``side`` is -1; in others only rows of different sides need to meet.
+    """
+    met = dealt.groupBy("g").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    met = materialise(met.where("lo <> hi").select("g", "rows"), "met")
+    large = materialise(met.where(F.col("rows") > PIECE).select("g"), "large")
+    most = dealt.join(small_side(large), "g").groupBy("g", "root").count().groupBy("g").agg(F.max(F.struct("count", "root")).alias("x"), F.sum("count").alias("all"))
+    blocks = lambda rows: F.ceil(rows / F.lit(PIECE)).cast("int")
+    most = most.select("g", F.col("x.root").alias("most"), blocks(F.col("x.count")).alias("own"), blocks(F.col("all") - F.col("x.count")).alias("rest"))
+    cut = dealt.join(small_side(materialise(most, "blocks")), "g")
+    of = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    cut = cut.withColumn("block", F.when(F.col("root") == F.col("most"), of("own")).otherwise(F.col("own") + of("rest")))
+    first = F.when(F.col("root") == F.col("most"), F.col("own")).otherwise(F.lit(0))
+    cut = cut.withColumn("other", F.explode(F.sequence(first, F.col("own") + F.col("rest") - 1)))
+    piece = F.xxhash64("g", F.least("block", "other"), F.greatest("block", "other"))  # pieces of one hash only meet once more
+    cut = cut.select(piece.alias("g"), "row", "root", "n", "at", F.signum(F.col("block") - F.col("other")).cast("int").alias("sign"))
+    cut = cut.select("g", "row", "root", "n", "at", F.when(F.col("sign") == 0, -1).when(F.col("sign") < 0, 0).otherwise(1).alias("side"))
+    whole = dealt.join(small_side(materialise(met.where(F.col("rows") <= PIECE).select("g"), "small")), "g").withColumn("side", F.lit(-1))
+    return whole.unionByName(cut)
+
+
 def _other_links(nodes: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of nodes (row, root, n, prefix) of different roots that may be similar.
 
@@ -469,41 +499,40 @@ def _other_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
         share = similarity / (1 + similarity)
 
-        def places(starts, ends):
-            """Pairs of places within groups, in pieces of bounded size."""
-            sizes = ends - starts
-            for n in np.unique(sizes[(sizes > 1) & (sizes <= 500)]).tolist():
-                some, (i, j) = starts[sizes == n], np.triu_indices(n, 1)
-                step = max(1, 2_000_000 // len(i))
-                for at in range(0, len(some), step):
-                    base = some[at : at + step, None]
-                    yield (base + i).ravel(), (base + j).ravel()
-            for s, e in zip(starts[sizes > 500].tolist(), ends[sizes > 500].tolist(), strict=True):
-                step = max(1, 2_000_000 // (e - s))
-                for at in range(s, e, step):
-                    i, j = np.meshgrid(np.arange(at, min(at + step, e)), np.arange(at + 1, e), indexing="ij")
-                    later = j > i
-                    yield i[later], j[later]
-
-        def found(g, row, root, n, at):
-            cut = np.flatnonzero(np.diff(g)) + 1
-            starts, ends = np.r_[0, cut], np.r_[cut, len(g)]
-            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-            for i, j in places(starts[mixed], ends[mixed]):
-                apart = root[i] != root[j]
-                i, j = i[apart], j[apart]
+        def places(g, root):
+            """Pairs of places of different roots within groups, in pieces of bounded size."""
+            cut = np.flatnonzero((np.diff(g) != 0) | (np.diff(root) != 0)) + 1
+            runs = np.r_[cut, len(g)]
+            after = runs[np.searchsorted(runs, np.arange(len(g)), side="right")]
+            end = np.searchsorted(g, g, side="right")
+            sizes = end - after
+            total = np.cumsum(sizes)
+            at = 0
+            while at < len(g):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, side="right")))
+                some = sizes[at:to]
+                i = np.repeat(np.arange(at, to), some)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(after[at:to], some)
+                yield i, j
+                at = to
+
+        def found(g, row, root, n, at, side):
+            order = np.lexsort((root, g))
+            g, row, root, n, at, side = (x[order] for x in (g, row, root, n, at, side))
+            for i, j in places(g, root):
                 left = np.minimum(n[i] - at[i], n[j] - at[j])
                 may = (left >= share * (n[i] + n[j]) - 1e-6) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                may &= (side[i] < 0) | (side[i] != side[j])
                 a, b = np.maximum(row[i[may]], row[j[may]]), np.minimum(row[i[may]], row[j[may]])
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for group in whole_groups(batches, columns):
+        for group in whole_groups(batches, [*columns, "side"]):
             yield from found(*group)
 
     dealt = nodes.select("row", "root", "n", "prefix").mapInArrow(deal, "g bigint, row bigint, root bigint, n int, at int")
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint").distinct()
+    return _in_pieces(dealt).repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:

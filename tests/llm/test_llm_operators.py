@@ -397,6 +397,26 @@ def test_similar_groups_in_a_family_of_templated_texts(spark):
     check_groups(spark, [" ".join(t) for t in family + copies])
 
 
+@pytest.mark.parametrize("piece", [2_000, 7])
+def test_other_links_of_hot_shingles(spark, piece, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    rng = random.Random(piece)
+    shared = rng.sample(range(1 << 40), 6)
+    nodes, sets = [], {}
+    for row in range(200):  # most of one root; all hold some of the same shingles
+        n = rng.choice([5, 6, 7, 8])
+        sets[row] = set(rng.sample(shared, 4) + [rng.randrange(1 << 40) for _ in range(n - 4)])
+        if row % 3 == 0 and row:
+            sets[row] = set(list(sets[row - 1])[1:]) | {rng.randrange(1 << 40)} if row % 2 else set(sets[row - 1]) | {rng.randrange(1 << 40)}
+        own = sorted(sets[row])
+        size = len(own) - math.ceil(0.8 * len(own) - 1e-6) + 1
+        nodes.append((row, 0 if rng.random() < 0.6 else rng.randrange(1, 5), len(own), b"".join(x.to_bytes(8, "little") for x in own[:size])))
+    roots = {r: root for r, root, _, _ in nodes}
+    got = {(r.a, r.b) for r in simhash._other_links(spark.createDataFrame(nodes, "row bigint, root bigint, n bigint, prefix binary"), 0.8).collect()}
+    similar = {(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and roots[a] != roots[b]}
+    assert len(similar) >= 3 and similar <= got and all(a > b and roots[a] != roots[b] for a, b in got)
+
+
 def test_similar_groups_of_lone_pairs_at_the_threshold(spark):
     rng = random.Random(2)
     word = word_maker(rng)
