@@ -446,6 +446,58 @@ def test_similar_groups_of_texts_with_one_fingerprint(spark):
     check_groups(spark, [" ".join(t) for t in texts])
 
 
+def spy_on_sets(monkeypatch):
+    """The bytes of each table of sets that is written from now on."""
+    sizes, write = [], simhash.materialise
+
+    def written(df, label):
+        out = write(df, label)
+        if label == "sets":
+            sizes.append(out.agg(F.sum(F.length(out.columns[-1]))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", written)
+    return sizes
+
+
+def test_sets_are_read_of_likely_links_only(spark, monkeypatch):
+    """All texts share a passage whose shingles count as rare, so all of them meet; two are similar."""
+    monkeypatch.setattr(simhash, "ORDER_SHINGLES", 0)
+    sizes = spy_on_sets(monkeypatch)
+    rng = random.Random(9)
+    word = word_maker(rng)
+    passage = [word() for _ in range(30)]
+    texts = [passage + [word() for _ in range(120)] for _ in range(60)]
+    texts.append(changed(rng, texts[7], 2, word))
+    check_groups(spark, [" ".join(t) for t in texts])
+    assert sum(sizes) <= 4 * 146 * 8  # either search may find the two
+
+
+def test_sets_are_held_in_waves(spark, monkeypatch):
+    """However many links there are, the sets written at a time are a part of all."""
+    monkeypatch.setattr(simhash, "WAVE_BYTES", 1)
+    sizes = spy_on_sets(monkeypatch)
+    rng = random.Random(10)
+    word = word_maker(rng)
+    texts = []
+    for i in range(24):
+        text = [word() for _ in range(104)]
+        texts += [text, changed(rng, text, 1 + i % 3, word)]
+    check_groups(spark, [" ".join(t) for t in texts])
+    assert max(sizes) <= 48 * 100 * 8 // 2
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for n, m, common in [(0, 0, 0), (0, 3, 0), (1, 1, 1), (64, 65, 60), (300, 290, 280), (5000, 4100, 4000), (400, 900, 0)]:
+        own = rng.choice(1 << 62, n + m - common, replace=False).astype(np.uint64)
+        x, y = own[:n], np.r_[own[: common], own[n:]]
+        least, true = simhash.least_difference(simhash.parities(x), simhash.parities(y)), n + m - 2 * common
+        assert least <= true and (true - least) % 2 == 0 and least >= true // 8
+
+
 def test_near_duplicate_stage_edges(spark, odd, empty):
     kept = simhash.keep_one_of_each_group(spark, odd, "")
     assert kept.columns == odd.columns and kept.count() == 4 and simhash.keep_one_of_each_group(spark, empty, "").count() == 0
