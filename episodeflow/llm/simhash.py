@@ -375,10 +375,10 @@ def _common_shingles(docs: DataFrame, shingle_words: int):
 
 
 def _profiles(docs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """(row, fp, fp2, n, shingles, bits, prefix) of texts (row, text).
+    """(row, fp, fp2, n, shingles, bits, mark, prefix) of texts (row, text).
 
     n is the number of a text's different shingles, ``shingles`` a digest of their
-    set and ``bits`` their parities. The prefix holds so many of them, rare ones first, that no text can
+    set, ``bits`` their parities and ``mark`` those of ``MARK`` places. The prefix holds so many of them, rare ones first, that no text can
     be similar that has none of these in its own prefix.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle_words))
@@ -392,7 +392,7 @@ def _profiles(docs: DataFrame, similarity: float, shingle_words: int) -> DataFra
         common, counts = shared.value
 
         def apply(texts):
-            out = [[], [], [], [], [], []]
+            out = [[] for _ in range(7)]
             for t in texts:
                 packed = shingle_hashes(t, shingle_words)
                 own = np.unique(packed)
@@ -402,23 +402,23 @@ def _profiles(docs: DataFrame, similarity: float, shingle_words: int) -> DataFra
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     count = np.where(common[at] == own, counts[at], 0)
                 prefix = own[np.argsort(count, kind="stable")[:size]]
-                for column, x in zip(out, (majority(packed), second_fingerprint(packed), len(own), xxhash.xxh3_128_digest(own.tobytes()), parities(own), prefix.tobytes()), strict=True):
+                for column, x in zip(out, (majority(packed), second_fingerprint(packed), len(own), xxhash.xxh3_128_digest(own.tobytes()), parities(own), parities(own, MARK), prefix.tobytes()), strict=True):
                     column.append(x)
             return out
 
         return apply
 
-    return add_columns(docs, ["text"], [("fp", "bigint"), ("fp2", "bigint"), ("n", "bigint"), ("shingles", "binary"), ("bits", "binary"), ("prefix", "binary")], make, drop=("text",))
+    return add_columns(docs, ["text"], [("fp", "bigint"), ("fp2", "bigint"), ("n", "bigint"), ("shingles", "binary"), ("bits", "binary"), ("mark", "binary"), ("prefix", "binary")], make, drop=("text",))
 
 
-def parities(own) -> bytes:
+def parities(own, places: int | None = None) -> bytes:
     """Of distinct hashes dealt to as many places or up to twice as many: whether a place has an odd number.
 
     The places are a power of two, from 64 on, and given by the hash's low bits.
     """
     import numpy as np
 
-    places = 1 << max(6, (len(own) - 1).bit_length())
+    places = places or 1 << max(6, (len(own) - 1).bit_length())
     return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
 
 
@@ -501,6 +501,9 @@ def _held(links: DataFrame, docs: DataFrame, profiles: DataFrame, similarity: fl
     return found
 
 
+#: Places of the parities that go with a node to where it meets others; they tell texts of up to some 2,000 shingles apart.
+MARK = 1_024
+
 #: Nodes of one shingle beyond which its group is cut into pieces.
 PIECE = 2_000
 
@@ -532,13 +535,15 @@ def _in_pieces(dealt: DataFrame) -> DataFrame:
 
 
 def _other_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of nodes (row, root, n, prefix) of different roots that may be similar.
+    """All pairs (a, b) of nodes (row, root, n, prefix, mark) of different roots that may be similar.
 
     Two similar texts share a shingle of both prefixes, so the nodes that hold one
     meet. A pair is left out where, were that shingle their first in common, too
-    few shingles are left behind it; at their first one in common it never is.
+    few shingles are left behind it; at their first one in common it never is. It is
+    also left out where the marks, if nodes have any, differ too much.
     """
     columns = ["g", "row", "root", "n", "at"]
+    marked = "mark" in nodes.columns
 
     def deal(batches):
         import numpy as np
@@ -558,6 +563,7 @@ def _other_links(nodes: DataFrame, similarity: float) -> DataFrame:
         import pyarrow as pa
 
         share = similarity / (1 + similarity)
+        most = (1 - similarity) / (1 + similarity)
 
         def places(g, root):
             """Pairs of places of different roots within groups, in pieces of bounded size."""
@@ -576,23 +582,39 @@ def _other_links(nodes: DataFrame, similarity: float) -> DataFrame:
                 yield i, j
                 at = to
 
-        def found(g, row, root, n, at, side):
+        def near(marks, n, i, j):
+            """Those of the pairs of places whose marks differ in few enough bits."""
+            kept = [(i[:0], j[:0])]
+            for part in range(0, len(i), 50_000):
+                x, y = i[part : part + 50_000], j[part : part + 50_000]
+                may = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64) <= most * (n[x] + n[y]) + 1e-6
+                kept.append((x[may], y[may]))
+            return (np.concatenate(x) for x in zip(*kept, strict=True))
+
+        def found(g, row, root, n, at, side, mark=None):
             order = np.lexsort((root, g))
             g, row, root, n, at, side = (x[order] for x in (g, row, root, n, at, side))
+            marks = np.frombuffer(b"".join(mark[order]), np.uint64).reshape(len(g), -1) if marked else None
             for i, j in places(g, root):
                 left = np.minimum(n[i] - at[i], n[j] - at[j])
                 may = (left >= share * (n[i] + n[j]) - 1e-6) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
                 may &= (side[i] < 0) | (side[i] != side[j])
-                a, b = np.maximum(row[i[may]], row[j[may]]), np.minimum(row[i[may]], row[j[may]])
+                i, j = i[may], j[may]
+                if marked:
+                    i, j = near(marks, n, i, j)
+                a, b = np.maximum(row[i], row[j]), np.minimum(row[i], row[j])
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for group in whole_groups(batches, [*columns, "side"]):
+        for group in whole_groups(batches, [*columns, "side", *(["mark"] if marked else [])]):
             yield from found(*group)
 
     dealt = nodes.select("row", "root", "n", "prefix").mapInArrow(deal, "g bigint, row bigint, root bigint, n int, at int")
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _in_pieces(dealt).repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint").distinct()
+    pieces = _in_pieces(dealt)
+    if marked:  # only what meets others is given its mark
+        pieces = pieces.join(nodes.select("row", "mark"), "row").select(*columns, "side", "mark")
+    return pieces.repartition(partitions, "g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:

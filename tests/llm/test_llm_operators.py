@@ -487,6 +487,22 @@ def test_sets_are_held_in_waves(spark, monkeypatch):
     assert max(sizes) <= 48 * 100 * 8 // 2
 
 
+@pytest.mark.parametrize("size", [120, 1_500])
+def test_other_links_are_made_of_nodes_with_near_marks(spark, size):
+    """Nodes that share a shingle are no pair where their marks show that they can't be similar."""
+    import numpy as np
+
+    rng = random.Random(size)
+    sets = [{1, 2, 3} | {rng.randrange(1 << 62) for _ in range(size)} for _ in range(40)]
+    sets.append(set(sorted(sets[5])[: size * 9 // 10]) | {1, 2, 3} | {rng.randrange(1 << 62) for _ in range(size // 12)})
+    nodes = []
+    for row, own in enumerate(sets):
+        own = np.array(sorted(own), np.uint64)
+        nodes.append((row, row, len(own), own[: len(own) // 5 + 1].tobytes(), simhash.parities(own, simhash.MARK)))
+    got = simhash._other_links(spark.createDataFrame(nodes, "row bigint, root bigint, n bigint, prefix binary, mark binary"), 0.8)
+    assert len(sets[5] & sets[40]) >= 0.8 * len(sets[5] | sets[40]) and [tuple(r) for r in got.collect()] == [(40, 5)]
+
+
 def test_parities_bound_the_difference():
     import numpy as np
 
