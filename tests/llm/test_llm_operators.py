@@ -156,6 +156,23 @@ def test_chat_round_trip(spark):
         assert not any(c in inner for c in chat.CONTROL)
 
 
+def test_chat_rows_have_one_form_at_any_length(spark):
+    """A conversation's rows are those of a longer one that begins with it."""
+    says = lambda t: f"{t} <s> é " * 60
+    turns = [(c, t, ["system", "user", "assistant"][min(t, 1 + t % 2)], says(t)) for c, n in ((1, 9), (2, 300)) for t in range(n)]
+    segments = chat.format_conversations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    rows = collections.defaultdict(list)
+    for r in chat.expand(segments).collect():
+        rows[r.conv_id].append(tuple(r)[1:])
+    short, long = rows[1], rows[2]
+    assert len(short) == 9 and len(long) == 300 and long[-1][3] > chat.WHOLE_CHARS > short[-1][3]
+    assert short == long[:9]
+    assert all(r[2].count(chat.END) == 1 for r in long)
+    whole = [r for r in chat.expand(segments, 10**9).collect() if r.conv_id == 2 and r.example is not None]
+    text = "".join(r[2] for r in long)
+    assert len(whole) == sum(r[1] is not None for r in long) and all(r.text_start == 0 and r.text == text[: r.loss_end] + f"{chat.END}\n" for r in whole)
+
+
 def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.read_back(chat.expand(chat.format_conversations(none))).count() == 0
